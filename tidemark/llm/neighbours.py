@@ -104,7 +104,7 @@ def _vectors(uri: str, rows: np.ndarray, dim: int) -> np.ndarray:
 
 
 def most_similar(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, lists: int | None = None, probes: int = 12,
-                 sample: int = 20_000, block: int = 4096, seed: int = 7) -> DataFrame:
+                 sample: int = 10_000, block: int = 4096, seed: int = 7) -> DataFrame:
     """id, other, similarity (rounded to 6), place: the k most similar others of every usable vector."""
     spark = df.sparkSession
     root = scratch(spark, "vector-index")
