@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARE = 5000
+SHARE = 50_000
 THRESHOLD = 0.75
 
 
@@ -25,10 +25,10 @@ def class_id(elems: Column) -> Column:
     return F.unhex(F.md5(F.array_join(F.transform(elems, lambda x: F.hex(x)), ",")))
 
 
-def common_elements(classes: DataFrame) -> np.ndarray:
+def common_elements(classes: DataFrame, share: int = SHARE) -> np.ndarray:
     """(hash, count) of common elements, ordered by hash."""
     n = classes.count()
-    least = max(3, -(-n // SHARE))
+    least = max(3, -(-n // share))
     rows = (classes.select(F.explode("elems").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)).toPandas()
     out = np.array([rows["e"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)])
     return out[:, np.argsort(out[0])]
