@@ -42,25 +42,32 @@ def apply_late(state: DataFrame, late: DataFrame, keys: list[str]) -> DataFrame:
     return state.unionByName(late).groupBy(*keys, "value").agg(F.sum("n_first").alias("n_first"), F.sum("n_all").alias("n_all"))
 
 
+def _same(keys: list[str], prefix: str) -> Column:
+    """Null-safe equality of the keys with their prefixed copies; an equi-join condition."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(prefix + k))
+    return out
+
+
 def derive(state: DataFrame, keys: list[str], count: str) -> DataFrame:
     """keys, n, n_distinct, least, most, median (mean of the two middle values) by cumulative counts."""
     s = state.where(F.col(count) > 0).withColumn("c", F.col(count)).withColumn("b", F.floor(F.col("value") / BUCKET))
     known = F.col("value").isNotNull()
     buckets = s.groupBy(*keys, "b").agg(F.sum("c").alias("all"), F.sum(F.when(known, F.col("c")).otherwise(0)).alias("n"),
                                         F.count("value").alias("d"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    same = lambda a, b: F.reduce(F.array(*[F.col(a + k).eqNullSafe(F.col(b + k)) for k in keys]), F.lit(True), lambda x, y: x & y)
     up = Window.partitionBy(*keys).orderBy(F.col("b").asc_nulls_last())
     ranked = (buckets.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
                      .withColumn("r1", F.floor((F.col("total") + 1) / 2)).withColumn("r2", F.floor(F.col("total") / 2) + 1))
     whole = ranked.groupBy(*keys).agg(F.sum("all").alias("n"), F.sum("d").alias("n_distinct"), F.min("lo").alias("least"), F.max("hi").alias("most"))
     holds = lambda r, upto, n: (F.col(upto) >= F.col(r)) & (F.col(upto) - F.col(n) < F.col(r))
     middle = ranked.where(holds("r1", "upto", "n") | holds("r2", "upto", "n")).select(*[F.col(k).alias("m_" + k) for k in keys], F.col("b").alias("m_b"), (F.col("upto") - F.col("n")).alias("below"), "r1", "r2")
-    j = s.join(middle, same("", "m_") & (F.col("b") == F.col("m_b")))
+    j = s.join(middle, _same(keys, "m_") & (F.col("b") == F.col("m_b")))
     within = Window.partitionBy(*keys, "b").orderBy("value")
     j = j.withColumn("upto", F.col("below") + F.sum("c").over(within))
     mid = j.groupBy(*keys).agg(((F.min(F.when(holds("r1", "upto", "c"), F.col("value"))) + F.min(F.when(holds("r2", "upto", "c"), F.col("value")))) / F.lit(2.0)).alias("median"))
     mid = mid.select(*[F.col(k).alias("m_" + k) for k in keys], "median")
-    return whole.join(mid, same("", "m_"), "left").select(*keys, "n", "n_distinct", "least", "most", "median")
+    return whole.join(mid, _same(keys, "m_"), "left").select(*keys, "n", "n_distinct", "least", "most", "median")
 
 
 def period_report(fates: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -70,7 +77,4 @@ def period_report(fates: DataFrame, keys: list[str], value: str) -> DataFrame:
                    .agg(F.count_if(F.col("fate") == "on_time").alias("n_first"), F.count_if(F.col("fate") == "corrects").alias("n_corrections"),
                         F.count_if(F.col("fate") == "refused").alias("n_refused")))
     stats = derive(state, keys, "n_all").select(*[F.col(k).alias("s_" + k) for k in keys], F.col("n").alias("n_final"), "n_distinct", "least", "most", "median")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col("s_" + k))
-    return counts.join(stats, same, "left").select(*keys, "n_first", "n_corrections", F.coalesce("n_final", F.lit(0)).alias("n_final"), "n_refused", "n_distinct", "least", "most", "median")
+    return counts.join(stats, _same(keys, "s_"), "left").select(*keys, "n_first", "n_corrections", F.coalesce("n_final", F.lit(0)).alias("n_final"), "n_refused", "n_distinct", "least", "most", "median")

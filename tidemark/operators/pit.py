@@ -28,7 +28,9 @@ def micros(text: str) -> int:
 
 
 def news_as_of(news: DataFrame, cutoff: str, source: str | None = None, ticker: str | None = None, only_canonical: bool = False) -> DataFrame:
-    out = news.withColumn("effective_time", F.greatest("event_time", "ingested_time")).where(visible(F.col("effective_time"), cutoff))
+    # both bounds are written out so that they reach the scan; the computed maximum alone would not
+    by = lambda c: F.col(c).isNull() | visible(F.col(c), cutoff)
+    out = news.where(by("event_time") & by("ingested_time")).withColumn("effective_time", F.greatest("event_time", "ingested_time")).where(F.col("effective_time").isNotNull())
     if only_canonical:
         out = out.where(F.col("is_near_duplicate") == F.lit(False))
     if source:

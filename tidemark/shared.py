@@ -3,9 +3,12 @@
 Operators that need state between jobs (index runs, batches, solved rounds) write it here, never to a
 machine-local folder, so a lost executor costs a task and not the state.
 """
+import io
 import json
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -76,3 +79,22 @@ def drop_dir(uri: str) -> None:
     fs, path = open_fs(uri)
     if fs.get_file_info(path).type == pafs.FileType.Directory:
         fs.delete_dir(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors once per application: their workers need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    uri = f"{scratch(spark, 'package')}/tidemark.zip"
+    put_bytes(uri, packed.getvalue())
+    spark.sparkContext.addPyFile(uri)
+    _shipped.add(app)
