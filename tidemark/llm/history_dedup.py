@@ -26,7 +26,8 @@ from tidemark.runs import Manifest, compact, run_file, search_run, write_run
 from tidemark.shared import get_bytes, materialize, open_fs, put_bytes, scratch
 
 LAST = 2**63 - 1
-ENTRY = np.dtype([("size", "<i4"), ("batch", "<i4"), ("home", "<i4"), ("off", "<i8"), ("len", "<i4")])
+CHUNK = 1_000_000
+ENTRY = np.dtype([("sig", "<u8"), ("size", "<i4"), ("batch", "<i4"), ("home", "<i4"), ("off", "<i8"), ("len", "<i4")])
 EDGE = "b string, b_at long, a string, a_at long, old boolean"
 
 
@@ -44,6 +45,19 @@ def _parse(raw: bytes) -> tuple[int, str, frozenset]:
     return int(at), raw[16 : 16 + int(n)].decode(), frozenset(np.frombuffer(raw[16 + int(n) :], "<i8").tolist())
 
 
+def _signatures(lists: list) -> np.ndarray:
+    """64 bits per element set, one set bit per element's residue."""
+    sizes = np.array([len(x) for x in lists], np.int64)
+    bits = np.uint64(1) << (np.concatenate(lists).astype(np.int64).view(np.uint64) >> np.uint64(58))
+    return np.bitwise_or.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]])
+
+
+def _may_be_alike(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """False only where the sets cannot be alike: each bit of one side alone is an element that the other lacks."""
+    need = np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9)
+    return (np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)) & (np.bitwise_count(a & ~b) <= n - need) & (np.bitwise_count(b & ~a) <= m - need)
+
+
 def _prefix(lists: list, table: np.ndarray) -> list[np.ndarray]:
     flat, offsets = by_rarity(lists, table)
     out = []
@@ -73,11 +87,11 @@ class NeighbourhoodIndex:
             table = np.frombuffer(get_bytes(f"{root}/order.bin"), np.int64).reshape(2, -1)
             for pdf in batches:
                 if len(pdf):
-                    yield pd.DataFrame({"id": pdf["id"], "at": pdf["at"], "elems": pdf["elems"], "keys": _prefix(list(pdf["elems"]), table)})
+                    yield pd.DataFrame({"id": pdf["id"], "at": pdf["at"], "elems": pdf["elems"], "keys": _prefix(list(pdf["elems"]), table), "sig": _signatures(list(pdf["elems"])).view(np.int64)})
 
-        keys = heads.select("id", "at", "elems").mapInPandas(keyed, "id string, at long, elems array<long>, keys array<long>")
+        keys = heads.select("id", "at", "elems").mapInPandas(keyed, "id string, at long, elems array<long>, keys array<long>, sig long")
         keys = materialize(keys, "keyed")
-        spread = keys.select("id", "at", "elems", F.explode("keys").alias("key")).withColumn("range", F.pmod(F.col("key"), F.lit(ranges)).cast("int"))
+        spread = keys.select("id", "at", "elems", "sig", F.explode("keys").alias("key")).withColumn("range", F.pmod(F.col("key"), F.lit(ranges)).cast("int"))
 
         def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             size = pdf["elems"].str.len().to_numpy(np.int64)
@@ -85,7 +99,7 @@ class NeighbourhoodIndex:
             order = np.lexsort((size, k))
             pdf, size, k = pdf.iloc[order], size[order], k[order]
             ids, ats = pdf["id"].to_numpy(object), pdf["at"].to_numpy(np.int64)
-            lists = pdf["elems"].to_numpy(object)
+            sig, lists = pdf["sig"].to_numpy(np.int64).view(np.uint64), pdf["elems"].to_numpy(object)
             sets: dict = {}
 
             def of(i):
@@ -96,9 +110,8 @@ class NeighbourhoodIndex:
             out, seen = [], set()
             ends = np.searchsorted(k, k, "right")
             for i in np.flatnonzero(ends > np.arange(len(k)) + 1):  # window: equal key, size up to n / threshold
-                for j in range(i + 1, ends[i]):
-                    if size[i] < THRESHOLD * size[j]:
-                        break
+                stop = i + 1 + np.searchsorted(size[i + 1 : ends[i]], size[i] / THRESHOLD, "right")
+                for j in i + 1 + np.flatnonzero(_may_be_alike(sig[i], size[i], sig[i + 1 : stop], size[i + 1 : stop])):
                     pair = (ids[i], ids[j])
                     if pair in seen or pair[0] == pair[1]:
                         continue
@@ -107,16 +120,18 @@ class NeighbourhoodIndex:
                         (aa, a), (ba, b) = sorted(((ats[i], ids[i]), (ats[j], ids[j])))
                         out.append((b, ba, a, aa, False))
             old: dict = {}
-            wanted, back = np.unique(k, return_inverse=True)
-            groups = np.argsort(back, kind="stable")
-            bounds = np.searchsorted(back[groups], np.arange(len(wanted) + 1))
+            wanted, first_of, count = np.unique(k, return_index=True, return_counts=True)
             for run in runs:
                 w, entries = search_run(run_file(root, run, int(key[0])), ENTRY, wanted)
-                for at_key, e in zip(w, entries):
-                    for i in groups[bounds[at_key] : bounds[at_key + 1]]:
-                        n, m = int(size[i]), int(e["size"])
-                        if min(n, m) >= THRESHOLD * max(n, m):
-                            old.setdefault((int(e["batch"]), int(e["home"])), {}).setdefault((int(e["off"]), int(e["len"])), set()).add(i)
+                total = np.cumsum(count[w])
+                cuts = np.unique(np.r_[0, np.searchsorted(total, np.arange(CHUNK, total[-1], CHUNK), "left") + 1, len(w)]) if len(w) else [0]
+                for lo, hi in zip(cuts[:-1], cuts[1:]):  # every record of a key against every entry of it, a bounded number at once
+                    n = count[w[lo:hi]]
+                    e = np.repeat(np.arange(lo, hi), n)
+                    i = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n) + first_of[w][e]
+                    near = _may_be_alike(sig[i], size[i], entries["sig"][e], entries["size"][e].astype(np.int64))
+                    for i, x in zip(i[near], entries[e[near]]):
+                        old.setdefault((int(x["batch"]), int(x["home"])), {}).setdefault((int(x["off"]), int(x["len"])), set()).add(i)
             for (bt, home), places in old.items():
                 fs, path = open_fs(_blob(root, bt, home))
                 with fs.open_input_file(path) as f:
@@ -149,20 +164,21 @@ class NeighbourhoodIndex:
             records = [_record(a, i, e) for a, i, e in zip(pdf["at"], pdf["id"], pdf["elems"])]
             put_bytes(_blob(root, batch, int(key[0])), *records)
             lengths = np.array([len(r) for r in records], np.int64)
-            return pd.DataFrame({"keys": pdf["keys"], "size": pdf["elems"].str.len(), "home": key[0], "off": np.cumsum(lengths) - lengths, "len": lengths})
+            return pd.DataFrame({"keys": pdf["keys"], "sig": pdf["sig"], "size": pdf["elems"].str.len(), "home": key[0], "off": np.cumsum(lengths) - lengths, "len": lengths})
 
-        stored = materialize(accepted.groupBy("home").applyInPandas(store, "keys array<long>, size int, home int, off long, len int"), "stored")
+        stored = materialize(accepted.groupBy("home").applyInPandas(store, "keys array<long>, sig long, size int, home int, off long, len int"), "stored")
         name = f"run-{batch:06d}"
 
         def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             entry = np.zeros(len(pdf), ENTRY)
             entry["batch"] = batch
+            entry["sig"] = pdf["sig"].to_numpy(np.int64).view(np.uint64)
             for c in ("size", "home", "off", "len"):
                 entry[c] = pdf[c].to_numpy()
             write_run(run_file(root, name, int(key[0])), pdf["key"].to_numpy(np.int64).view(np.uint64), entry)
             return pd.DataFrame({"n": [len(pdf)]})
 
-        entries = stored.select(F.explode("keys").alias("key"), "size", "home", "off", "len").withColumn("range", F.pmod(F.col("key"), F.lit(ranges)).cast("int"))
+        entries = stored.select(F.explode("keys").alias("key"), "sig", "size", "home", "off", "len").withColumn("range", F.pmod(F.col("key"), F.lit(ranges)).cast("int"))
         entries.groupBy("range").applyInPandas(index, "n long").write.format("noop").mode("overwrite").save()
         state = {"runs": [*runs, name], "batches": batch + 1, "ordered": True}
         if len(state["runs"]) >= self.merge_every:
