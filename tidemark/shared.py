@@ -98,3 +98,10 @@ def ship(spark: SparkSession) -> None:
     put_bytes(uri, packed.getvalue())
     spark.sparkContext.addPyFile(uri)
     _shipped.add(app)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tidemark/" in folder:
+            drop_dir(folder)
