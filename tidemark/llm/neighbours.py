@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.shared import get_bytes, materialize, open_fs, put_bytes, scratch
+from tidemark.shared import discard, get_bytes, materialize, open_fs, put_bytes, scratch
 
 EPSILON = 1.9  # width of the error bound in standard deviations
 
@@ -144,6 +144,7 @@ def most_similar(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, l
                 yield pd.DataFrame({"id": pdf["id"], "list": np.argmax(m @ c.T, axis=1), "v": list(m)})
 
     assigned = materialize(classes.select("id", "v").mapInPandas(assign, "id long, list int, v array<float>"), "vector-lists")
+    discard(classes)  # the lists hold the vectors now
     sizes = assigned.groupBy("list").agg(F.count(F.lit(1)).alias("n"))  # at most `lists` rows
     split = {int(r["list"]): int(np.ceil(r["n"] / block)) for r in sizes.collect()}
     blocks = spark.createDataFrame([(a, b) for a, b in split.items()], "list int, blocks int")
@@ -157,6 +158,7 @@ def most_similar(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, l
         return pd.DataFrame({"list": [key[0]], "block": [key[1]], "n": [len(pdf)]})
 
     written = materialize(cut.groupBy("list", "block").applyInPandas(write, "list int, block int, n int"), "vector-blocks")
+    discard(assigned)  # the index holds them now
 
     def search(batches):
         c, rot = centroids(), rotation(dim, seed)
