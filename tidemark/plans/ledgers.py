@@ -56,7 +56,7 @@ def _minhash(e):
 @query()
 def jn13_lsh_pairs(s, d):
     """Title pairs that share at least one of 32 bands of four minimum hashes, with their exact Jaccard of 0.75 or more."""
-    base = news(s, d).where("title is not null").select("id", X.shingles(F.col("title")).alias("e")).where(F.size("e") > 0)
+    base = materialize(news(s, d).where("title is not null").select("id", X.shingles(F.col("title")).alias("e")), "shingles").where(F.size("e") > 0)
     m = materialize(base.select("id", _minhash(F.col("e")).alias("m")), "minhash")  # once, not once per band
     bands = m.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.xxhash64(b, F.slice("m", b * 4 + 1, F.lit(4))))).alias("band"))
     met = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
