@@ -54,4 +54,9 @@ def p10_canonical(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_top, p6_found, p7_found, p7_groups, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_canonical)}
-SQL: dict[str, str] = {}
+_TOP = """WITH u AS (SELECT result_id, embedding::DOUBLE[] AS e FROM dedup_results WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ v AS (SELECT result_id, e, sqrt(list_dot_product(e, e)) AS n FROM u),
+ s AS (SELECT a.result_id AS id, b.result_id AS other, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.result_id <> b.result_id),
+ t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS place FROM s)"""
+#: Brute force; equal as long as no neighbour is missed, which holds on the small scales.
+SQL: dict[str, str] = {"p1_found": _TOP + " SELECT DISTINCT least(id, other) AS result_id_a, greatest(id, other) AS result_id_b FROM t WHERE place <= 5"}
