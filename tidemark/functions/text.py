@@ -12,7 +12,7 @@ NEGATORS = "not no never without except excluding fail fails failing didn wasn i
 NEGATION_WINDOW = 3
 IRREGULAR = {"rose": "rise", "fell": "fall", "sank": "sink", "slid": "slide"}
 ANTONYMS = {
-    "beat": "miss underperform", "top": "miss", "exceed": "miss underperform", "outperform": "miss underperform",
+    "beat": "miss underperform", "top": "miss underperform", "exceed": "miss underperform", "outperform": "miss underperform",
     "hike": "cut slash lower", "raise": "cut slash lower", "boost": "cut slash lower",
     "surge": "plunge plummet crash slump sink slide fall drop decline", "soar": "plunge plummet crash slump sink slide fall",
     "spike": "plunge plummet crash slump sink slide fall", "jump": "plunge plummet sink slump tumble slide fall drop decline",

@@ -3,8 +3,10 @@
 Operators that need state between jobs (index runs, batches, solved rounds) write it here, never to a
 machine-local folder, so a lost executor costs a task and not the state.
 """
+import atexit
 import io
 import json
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,12 +20,13 @@ _own: dict[str, str] = {}
 
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is named (tests), one of our own is made and remembered."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
 
