@@ -13,10 +13,10 @@ from tidemark.functions import vectors as V
 from tidemark.operators.clusters import assign_clusters
 from tidemark.operators.components import components
 from tidemark.operators.pit import micros, vector_top_k
-from tidemark.plans import core_problems, ledgers, reference
+from tidemark.plans import core_problems, duplicates, ledgers, reference
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = core_problems.QUERIES | reference.QUERIES | ledgers.QUERIES, core_problems.SQL | reference.SQL | ledgers.SQL
+QUERIES, SQL = core_problems.QUERIES | reference.QUERIES | ledgers.QUERIES | duplicates.QUERIES, core_problems.SQL | reference.SQL | ledgers.SQL | duplicates.SQL
 
 
 @pytest.fixture(scope="module")
