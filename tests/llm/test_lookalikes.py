@@ -30,3 +30,20 @@ def test_pairs(spark):
     forms = {r["id"]: r["canonical"] for r in L.canonical_texts(df, "doc_id", "text").collect()}
     assert forms[2] == "price up" and forms[6] is None and forms[9] == "" and len(forms) == 13
     assert L.same_looking(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_letter_classes():
+    for letters in L.SCRIPTS:
+        assert all(L.canonical(f"x{a}x") == L.canonical(f"x{b}x") for a, b in letters.items()), letters
+    assert L.canonical("Phɑrma Bizurօ") == "Pharma Bizuro" and L.canonical("ρrice Уork") == "price York"
+    assert [L.canonical(x) for x in ("ǆ", "ǅ", "ǳ", "ﬅ", "Ⅳ", "ŀ")] == ["dž", "Dž", "dz", "ſt", "IV", "l·"]
+
+
+def test_letters_of_one_alphabet_stay_apart():
+    for first, last in ((0x391, 0x3C9), (0x410, 0x44F), (0x531, 0x586), (0x13A0, 0x13F5), (0xA4D0, 0xA4F7), (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0x17E)):
+        forms = {}
+        for c in range(first, last + 1):
+            if unicodedata.category(chr(c))[0] == "L":
+                forms.setdefault(L.canonical(chr(c)), []).append(chr(c))
+        assert not [x for x in forms.values() if len(x) > 1 and x != ["Ð", "Đ"]]
+    assert L.canonical("σ") != L.canonical("ο") and L.canonical("ı") != L.canonical("i")

@@ -23,12 +23,19 @@ from pyspark.sql import functions as F
 
 from tidemark.shared import materialize
 
-# Letters drawn alike in common typefaces, by script, and the Latin letter they take.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеорсухѕіјһԁԛԝԌԚԜӀӏ", "ABESIJKMHOPCTXaeopcyxsijhdqwGQWIl"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϹͿϳ", "ABEZHIKMNOPTYXovcCJj"))
-LATIN = {"ı": "ı", "ɡ": "g"}
+# Letters drawn alike in common typefaces, by script, and the letter they take. No two letters of one alphabet
+# take the same letter unless they are drawn alike themselves.
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеорсухѕіјһԁԛԝԌԚԜӀӏУҮүѴѵҽӘәӔӕӨөѲѳӠӡԐԑҪҫћѰѱ", "ABESIJKMHOPCTXaeopcyxsijhdqwGQWIlYYyVveƏəÆæƟɵƟɵƷʒƐεÇçħΨψ"))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϹͿϳαγιρυκβϒϜϷϸϺΓΠΦφͶͷϽͻµ", "ABEZHIKMNOPTYXovcCJjayipuкßYFÞþMГПФфИиƆɔμ"))
+LATIN = {"ı": "ı"} | dict(zip("ɡɑɩᴄᴏᴠᴡᴢꜱʙʜᴍᴛĸᴋᴎᴙᴫᴦᴨɛɜɸÐƉǝƩɅᴧᴐꭓꞵ", "gaicovwzsвнмтккиялгпεзфĐĐəΣΛʌɔχß")) | {"ʣ": "dz", "ʦ": "ts", "ʪ": "ls", "ʫ": "lz"}
+ARMENIAN = dict(zip("ՍՏՕԼհյոսօզց", "USOLhjnuoqg"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏙᏚᏞᏟᏢᏦᏧᏴꮓꮩꮪꮃꮯ", "DRTiAJEWMHYGhZbVSLCPKdBzvswc"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+COPTIC = dict(zip("ⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬⲄ", "BHIKMNOoPpCcTYXГ"))
+OTHER = dict(zip("𐐄𐐬𐐕𐐽𐐛𐑈𐓂𐓪𐓎𐓶ყⵔⵝⴹዐഠଠဝↃↄℵℶℷℸ", "OoCcLsOoUuyOXEOoOoƆɔאבגד"))
+SCRIPTS = (CYRILLIC, GREEK, LATIN, ARMENIAN, CHEROKEE, LISU, COPTIC, OTHER)
 # Ranges of joined letters of the same look (compatibility decompositions to letters).
-JOINED = [(0x0132, 0x0133), (0x01C7, 0x01CC), (0x01F1, 0x01F2), (0xFB00, 0xFB04), (0xFB06, 0xFB06), (0xFB13, 0xFB17)]
+JOINED = [(0x0132, 0x0133), (0x013F, 0x0140), (0x0149, 0x0149), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0xFB4F, 0xFB4F), (0xFEF5, 0xFEFC)]
 # Invisible characters outside the format category.
 INVISIBLE = [(0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFFA0, 0xFFA0), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF)]
 # Format characters that are drawn.
@@ -42,7 +49,7 @@ def _within(c: int, ranges: list[tuple[int, int]]) -> bool:
 @lru_cache(maxsize=1)
 def tables() -> tuple[dict[int, str], list[tuple[int, int]]]:
     """(single-character replacements, ranges of unstable characters), derived from the character properties."""
-    replace: dict[int, str] = {ord(a): b for a, b in (CYRILLIC | GREEK | LATIN).items() if a != b}
+    replace: dict[int, str] = {ord(a): b for script in SCRIPTS for a, b in script.items() if a != b}
     joins: set[int] = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
     for c in range(0x110000):
         ch = chr(c)
@@ -56,7 +63,7 @@ def tables() -> tuple[dict[int, str], list[tuple[int, int]]]:
         elif how := unicodedata.decomposition(ch):
             tag, _, rest = how.rpartition("> ")
             to = "".join(chr(int(x, 16)) for x in rest.split())
-            if tag in ("<wide", "<narrow", "<noBreak", "<font") or (tag == "<compat" and _within(c, JOINED)):
+            if tag in ("<wide", "<narrow", "<noBreak", "<font") or (tag in ("<compat", "<isolated", "<final") and _within(c, JOINED)):
                 replace[c] = to
             elif not tag and len(to) == 2 and unicodedata.normalize("NFC", ch) == ch:
                 joins.add(ord(to[1]))
