@@ -60,6 +60,21 @@ def test_pairs_and_groups(spark):
     assert all(groups[i]["n_links"] == sum(i in p for p in got) for i in ids)
 
 
+def test_hot_story_loses_no_pair(spark):
+    r = random.Random(4)
+    base = [f"s{i}" for i in range(17)]
+    rows = []
+    for i in range(900):
+        w = list(base) if i % 3 == 0 else [f"w{r.randrange(2000)}" for _ in range(12)]
+        for _ in range(1 + i % 2 if i % 3 == 0 else 0):
+            w.insert(r.randrange(len(w)), f"e{r.randrange(3000)}")
+        rows.append((f"i{i:04d}", " ".join(w)))
+    sets = [(i, elements(t)) for i, t in rows]
+    want = {(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[k + 1 :] if len(x & y) >= 0.75 * len(x | y)}
+    got = [tuple(p) for p in alike_pairs(spark.createDataFrame(rows, "id string, title string"), "id", "title").collect()]
+    assert len(want) > 1000 and len(got) == len(set(got)) and set(got) == want
+
+
 def sequential(rows):
     accepted, out, seen = [], set(), set()
     for i, t, at, *_ in sorted(set(r[:3] for r in rows), key=lambda r: (r[2] is None, r[2] or T0, r[0])):

@@ -1,13 +1,17 @@
-"""Near-duplicate titles by HyperMinHash: banded compressed registers, collision-corrected estimate, verification.
+"""Near-duplicate titles: candidates by prefix, HyperMinHash screening, exact verification.
 
-A register keeps the leading-zero count (6 bits) and the ten bits behind the leading one of a minimum hash;
-ROWS registers make one band key. Titles of one template share many common elements, so the banded
-registers are taken over a title's rare elements only: those in fewer titles than half the root of their number (25 at least), but at least a quarter
-(and two) of its elements, at most half. Titles of the same template then meet in no band unless their rare parts agree. A second sketch over all elements estimates Jaccard, corrected
-for register collisions; pairs within MARGIN of the threshold are verified exactly on the element sets.
+Candidates are complete: two sets whose Jaccard is at least THRESHOLD share at least that part of the larger one, so they
+share an element among the first n - ceil(THRESHOLD n) + 1 of each in any order common to all sets. The order is by
+rarity, so a key is a title's rarest word or pair of words and titles of one template rarely meet. At the first shared element
+the places left in both sets bound what they can share, which drops most meetings before the pairs are formed.
 
-Exact copies are folded first: pairs are found between distinct element sets, copies come back by membership. Band keys are
-equi-joined, so a hot band is split by the engine's skew handling; nothing is capped.
+A HyperMinHash sketch over all elements then estimates Jaccard: a register keeps the leading-zero count (6 bits) and the ten bits
+behind the leading one of a minimum hash; the estimate is corrected for register collisions; pairs within MARGIN of
+the threshold are verified exactly on the element sets.
+
+Exact copies are folded first: pairs are found between distinct element sets, copies come back by membership. Keys are
+equi-joined, so a hot key is split by the engine's skew handling; nothing is capped. A story with many retellings costs about
+the square of their number, as its result does.
 
 Defined results: null or wordless titles are alike to nothing; repeated ids count once.
 """
@@ -16,15 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.elements import THRESHOLD, by_rarity, class_id, common_elements, elements, rarity
+from tidemark.llm.elements import THRESHOLD, by_rarity, class_id, common_elements, elements
 from tidemark.operators.components import components
 from tidemark.shared import get_bytes, materialize, put_bytes, scratch
 
 MANTISSA = 10
-ROWS = 3
-AGREE = 2  # bands in which a pair must meet: one meeting is mostly a shared name, alike titles meet in many
 ESTIMATORS = 64
-MARGIN = 0.25
+MARGIN = 0.25  # 4.6 standard deviations of the estimate at the threshold
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,12 +73,11 @@ def title_classes(df: DataFrame, ident: str, title: str) -> tuple[DataFrame, Dat
     return rows.select("id", "cid").distinct(), materialize(rows.groupBy("cid").agg(F.first("elems").alias("elems")), "title-classes")
 
 
-def class_pairs(classes: DataFrame, bands: int = 64) -> DataFrame:
+def class_pairs(classes: DataFrame) -> DataFrame:
     """a, b: the class pairs with Jaccard >= THRESHOLD (a < b)."""
     spark = classes.sparkSession
     place = scratch(spark, "common")
     common = common_elements(classes)
-    frequent = max(25, int(classes.count() ** 0.5 / 2))
     put_bytes(place, common.tobytes())
 
     def sketch(batches):
@@ -86,21 +87,17 @@ def class_pairs(classes: DataFrame, bands: int = 64) -> DataFrame:
                 continue
             flat, offsets = by_rarity(list(pdf["elems"]), table)
             sizes = np.diff(offsets)
-            # rare elements, but more than two alike titles can fail to share, and never more than the half
-            rare = np.add.reduceat((rarity(flat, table) < frequent).astype(np.int64), offsets[:-1])
-            kept = np.minimum(np.maximum(rare, sizes // 4 + 2), (sizes + 1) // 2)
-            local = np.arange(len(flat)) - np.repeat(offsets[:-1], sizes)
-            banded = registers(flat[local < np.repeat(kept, sizes)], np.r_[0, np.cumsum(kept)[:-1]], ROWS * bands, 11)
+            prefix = sizes - np.ceil(THRESHOLD * sizes).astype(np.int64) + 1
             whole = registers(flat, offsets[:-1], ESTIMATORS, 23)
-            packed = banded.reshape(len(pdf), bands, ROWS).astype(np.uint64) @ (np.uint64(1) << np.arange(ROWS, dtype=np.uint64) * np.uint64(16))
-            keys = _mix(packed + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pd.DataFrame({"cid": pdf["cid"], "keys": list(keys), "sketch": [w.tobytes() for w in whole], "elems": pdf["elems"]})
+            keys = [flat[at : at + k] for at, k in zip(offsets[:-1], prefix)]
+            yield pd.DataFrame({"cid": pdf["cid"], "keys": keys, "sketch": [w.tobytes() for w in whole], "elems": pdf["elems"]})
 
     sketched = materialize(classes.mapInPandas(sketch, "cid binary, keys array<long>, sketch binary, elems array<long>"), "sketches")
-    banded = sketched.select(F.explode("keys").alias("key"), "cid")
-    met = banded.alias("l").join(banded.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.cid") < F.col("r.cid")))
-    met = met.groupBy(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    candidates = met.where(F.col("n") >= AGREE).select("a", "b")
+    keyed = sketched.select("cid", F.size("elems").alias("n"), F.posexplode("keys").alias("place", "key"))
+    one, two = (keyed.select("key", F.col("cid").alias(c), F.col("n").alias("n" + c), (F.col("n") - F.col("place")).alias("left" + c)) for c in "ab")
+    # the first shared element: what is left of both, itself included, is all they can share
+    enough = F.least("lefta", "leftb") >= THRESHOLD / (1 + THRESHOLD) * (F.col("na") + F.col("nb")) - 1e-6
+    candidates = one.join(two, "key").where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
     side = lambda c: sketched.select(F.col("cid").alias(c), F.col("sketch").alias("s" + c), F.col("elems").alias("e" + c))
     full = candidates.join(side("a"), "a").join(side("b"), "b")
 
@@ -119,10 +116,10 @@ def class_pairs(classes: DataFrame, bands: int = 64) -> DataFrame:
     return materialize(full.mapInPandas(verify, "a binary, b binary"), "title-pairs")
 
 
-def alike_pairs(df: DataFrame, ident: str, title: str, bands: int = 64) -> DataFrame:
+def alike_pairs(df: DataFrame, ident: str, title: str) -> DataFrame:
     """id_a, id_b of every two rows that are alike, copies included."""
     members, classes = title_classes(df, ident, title)
-    pairs = class_pairs(classes, bands)
+    pairs = class_pairs(classes)
     one, two = members.select(F.col("cid").alias("a"), F.col("id").alias("x")), members.select(F.col("cid").alias("b"), F.col("id").alias("y"))
     between = pairs.join(one, "a").join(two, "b").select("x", "y")
     copies = members.alias("l").join(members.alias("r"), "cid").where(F.col("l.id") < F.col("r.id")).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
@@ -130,10 +127,10 @@ def alike_pairs(df: DataFrame, ident: str, title: str, bands: int = 64) -> DataF
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def alike_groups(df: DataFrame, ident: str, title: str, bands: int = 64) -> DataFrame:
+def alike_groups(df: DataFrame, ident: str, title: str) -> DataFrame:
     """One row per document: id, group_id (least id joined by links, its own where alone), n_links (alike rows)."""
     members, classes = title_classes(df, ident, title)
-    pairs = class_pairs(classes, bands)
+    pairs = class_pairs(classes)
     sizes = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(sizes.select(F.col("cid").alias("b"), "n"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("linked"))
     label = components(pairs).withColumnRenamed("node", "cid")
