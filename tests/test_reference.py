@@ -80,6 +80,17 @@ def test_vectors(spark):
         micros("2026-01-01T00:00:00")
 
 
+def test_cosine_pairs_across_labels_and_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5 - 2), 1.0]) for i in range(60)] + [(90, [0.0, 0.0, 0.0]), (91, [1.0])], "id long, e array<double>")
+    v = {r["id"]: r["e"] for r in df.collect() if r["id"] < 60}
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / math.sqrt(sum(a * a for a in x) * sum(b * b for b in y))
+    want = {(a, b) for a in v for b in v if a % 2 == 0 and cos(v[a], v[b]) >= 0.21}
+    got = [(r["a"], r["b"]) for r in V.block_pairs(df.where("id % 2 = 0"), df.where("id <> 91"), 0.21, size=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    everything = {tuple(r) for r in QUERIES["mth5_cosine_all"](spark, DATA).collect()}
+    assert {tuple(r) for r in QUERIES["mth5_cosine_pairs"](spark, DATA).collect()} < everything and len(everything) == 147
+
+
 def greedy(rows, method, spark):
     """Row by row, as the sequential rule says."""
     import re

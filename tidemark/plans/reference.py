@@ -463,6 +463,13 @@ def mth5_cosine_pairs(s, d):
     return j.where("c >= 0.2").select("a", "b", F.round("c", 6).alias("score"))
 
 
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) >= 0.2")
+def mth5_cosine_all(s, d):
+    """Each query vector against all rows, whatever their label: blocks of vectors, one matrix product for each two."""
+    e = table(s, d, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return V.block_pairs(e.where("id % 100 = 0"), e, 0.2).where("a <> b").select("a", "b", F.round("c", 6).alias("score"))
+
+
 @query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: exp(x - list_max(embedding::DOUBLE[])))), 6) AS total, list_position(embedding, list_max(embedding)) - 1 AS best FROM embeddings")
 def mth9_softmax(s, d):
     e = table(s, d, "embeddings")
