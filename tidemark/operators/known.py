@@ -109,14 +109,19 @@ def as_known(events: DataFrame, facts: DataFrame, entity: str, event_us: str, kn
               .where("_e is not null and _known is not null and _valid is not null and _pay is not null"))
     columns = events.columns
     e = events.withColumns({"_e": F.col(entity).cast("string"), "_q": F.col(event_us)})
-    fc = f.groupBy("_e").agg(F.count(F.lit(1)).alias("nf"), F.percentile_approx("_valid", [k / 64 for k in range(1, 64)], 1000).alias("cuts")).where(F.col("nf") > hot)
+    fc = f.groupBy("_e").agg(F.count(F.lit(1)).alias("nf")).where(F.col("nf") > hot)
     ec = e.groupBy("_e").agg(F.count(F.lit(1)).alias("ne")).where(F.col("ne") > hot)
     size = f.agg(F.count(F.lit(1)).alias("n")).first()["n"] + e.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     shards = max(4, int(np.ceil(size / SHARD_ROWS)))
     heavy = materialize(fc.join(ec, "_e", "full"), "known-heavy")  # at most rows / hot entities on either side
+    has_heavy = not heavy.isEmpty()
+    if has_heavy:  # valid-time cuts of the hot entities only
+        cuts = f.join(heavy.where("nf is not null").select("_e"), "_e", "left_semi").groupBy("_e").agg(F.percentile_approx("_valid", [k / 64 for k in range(1, 64)], 1000).alias("cuts"))
+        heavy = materialize(heavy.join(cuts, "_e", "left"), "known-cuts")
+    else:
+        heavy = heavy.withColumn("cuts", F.array().cast("array<bigint>"))
     heavy = heavy.select("_e", F.coalesce(F.array_distinct("cuts"), F.array().cast("array<bigint>")).alias("_cuts"), F.greatest(F.lit(1), F.ceil(F.coalesce("ne", F.lit(0)) / hot)).cast("int").alias("_salts"))
     home = F.pmod(F.xxhash64("_e"), F.lit(shards)).cast("int").alias("_shard")
-    has_heavy = not heavy.isEmpty()
     if has_heavy:
         f, e = f.join(heavy, "_e", "left"), e.join(heavy, "_e", "left")
         block = lambda c: F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col(c))), F.lit(0))

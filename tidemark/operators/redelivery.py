@@ -9,27 +9,28 @@ Defined results: a null identifier is no message (neither kept nor found); a nul
 null ingested_at, partition or offset sort last; repeated rows and ties give the same kept row; an empty table
 gives an empty result. Identity is the 128-bit MD5 of topic and identifier.
 """
-import hashlib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.runs import Manifest, compact, run_file, search_run, write_run
 from tidemark.shared import materialize, scratch
 
 LAST = 2**63 - 1
+PREFIX_ROWS = 200_000  # rows of a prefix: one task's arrays stay small however many rows there are
 PAYLOAD = np.dtype([("lo", "<u8"), ("at", "<i8"), ("part", "<i8"), ("off", "<i8")])
 OUT = "topic string, id string, at long, part long, off long, n long, known boolean, batch long"
 
 
-def _hash128(topic: pd.Series, ident: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    raw = b"".join(
-        hashlib.md5((b"\0" if t is None else b"\1" + t.encode()) + b"\0" + i.encode()).digest()
-        for t, i in zip(topic, ident)
-    )
-    both = np.frombuffer(raw, ">u8").reshape(-1, 2)
+def _identity() -> Column:
+    """MD5 of topic and identifier as 32 hexadecimal digits, in the JVM."""
+    topic = F.coalesce(F.concat(F.lit("\u0001"), "topic"), F.lit("\u0000"))
+    return F.md5(F.encode(F.concat(topic, F.lit("\u0000"), "id"), "UTF-8"))
+
+
+def _halves(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(keys), ">u8").reshape(-1, 2)
     return both[:, 0].astype("<u8"), both[:, 1].astype("<u8")
 
 
@@ -47,7 +48,7 @@ class RedeliveryIndex:
         root, runs, name = self.root, list(state["runs"]), f"run-{state['batches']:06d}"
 
         def check(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            hi, lo = _hash128(pdf["topic"], pdf["id"])
+            hi, lo = _halves(pdf["key"])
             order = np.argsort(hi, kind="stable")
             pdf, hi, lo = pdf.iloc[order].reset_index(drop=True), hi[order], lo[order]
             known = np.zeros(len(pdf), bool)
@@ -67,7 +68,8 @@ class RedeliveryIndex:
                 write_run(run_file(root, name, int(key[0])), hi[novel], rows)
             return pdf[["topic", "id"]].assign(**kept, n=pdf["n"], known=known, batch=batch)
 
-        prefixed = local.withColumn("prefix", F.pmod(F.xxhash64("topic", "id"), F.lit(self.prefixes)).cast("int"))
+        lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")  # the first 32 bits choose the prefix range
+        prefixed = local.withColumn("key", _identity()).withColumn("prefix", F.shiftright(lead * self.prefixes, 32).cast("int")).withColumn("key", F.unhex("key"))
         out = materialize(prefixed.groupBy("prefix").applyInPandas(check, OUT), "redelivery")
         state = {"runs": [*runs, name], "batches": state["batches"] + 1}
         if len(state["runs"]) >= self.merge_every:
@@ -97,7 +99,7 @@ def replay(df: DataFrame, topic="kafka_topic", ident="event_id", at="ingested_at
     when = F.coalesce(F.unix_micros(F.col(at)), F.lit(LAST))
     number = sum([(when > F.lit(c)).cast("int") for c in sorted(set(cuts["q"] or []))], F.lit(0))
     local = materialize(local_dedup(slim.withColumn("b", number), topic, ident, at, part, off, "b"), "batches", ["b"])
-    prefixes = max(16, min(4096, 2 ** int(np.ceil(np.log2(max(1, cuts["n"] / 50_000))))))
+    prefixes = max(16, -(-cuts["n"] // PREFIX_ROWS))
     index = RedeliveryIndex(spark, scratch(spark, "redelivery-index"), prefixes)
     outs = [index.add(local.where(F.col("b") == b).drop("b"), b) for b in range(len(set(cuts["q"] or [])) + 1)]
     result = outs[0]

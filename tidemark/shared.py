@@ -16,13 +16,17 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is named (tests), one of our own is made and remembered."""
+    """The cluster's shared folder. Where none is named, executors of a cluster could not see a folder of ours: that is an
+    error; a local master (tests) gets one, which is removed at exit."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -32,8 +36,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, unique folder path below the shared folder."""
-    return f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique path below the shared folder. This process owns what lies there and removes it at exit (release)."""
+    path = f"{shared_root(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(release)
+    _made.append(path)
+    return path
+
+
+def release() -> None:
+    """Remove every intermediate table, index and file this process has made. Results that still read them are lost."""
+    while _made:
+        try:
+            drop(_made.pop())
+        except (OSError, ValueError):  # the storage is gone already
+            pass
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -78,10 +95,14 @@ def get_json(uri: str):
     return None if raw is None else json.loads(raw)
 
 
-def drop_dir(uri: str) -> None:
+def drop(uri: str) -> None:
+    """Delete a folder or file, if it is there."""
     fs, path = open_fs(uri)
-    if fs.get_file_info(path).type == pafs.FileType.Directory:
+    kind = fs.get_file_info(path).type
+    if kind == pafs.FileType.Directory:
         fs.delete_dir(path)
+    elif kind == pafs.FileType.File:
+        fs.delete_file(path)
 
 
 _shipped: set[str] = set()
@@ -107,4 +128,4 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/tidemark/" in folder:
-            drop_dir(folder)
+            drop(folder)
