@@ -59,10 +59,26 @@ def test_zones_agree_with_python(spark):
 
 def test_mixture_decides_order_where_allowed(spark):
     rows = [(f"{d:02d}/01/2026 10:00:00Z", "wire") for d in range(1, 29)]
+    rows.append(("32/13/2026 10:00:00Z", "wire"))
     out = read_instants(spark.createDataFrame(rows, "t string, feed string"), "t", F.lit(None).cast("string"), *frames(spark), infer_order=True).collect()
     assert {r["time_reading"] for r in out if r["instant_us"]} == {"slash_dmy"} and sum(r["instant_us"] is not None for r in out) > 20
     closed = read_instants(spark.createDataFrame(rows, "t string, feed string"), "t", F.lit(None).cast("string"), *frames(spark)).collect()
-    assert {r["time_status"] for r in closed} == {"ambiguous"}
+    assert {r["time_status"] for r in closed} == {"ambiguous", "impossible"} and [r["t"] for r in closed if r["time_status"] == "impossible"] == ["32/13/2026 10:00:00Z"]
+
+
+def test_posterior_chooses_the_order(spark, monkeypatch):
+    """With the fit replaced by equal weights, the same texts of registered sources stay open: the mixture decides them."""
+    from tidemark.operators import instants
+
+    rows = [("03/04/2026 10:11:12", "NY"), ("03/04/2026 10:11:12", "London"), ("25/12/2025 10:11:12", "NY"), ("2026-01-02T03:04:05Z", "NY")]
+    read = lambda: {(r["t"], r["feed"]): r for r in read_instants(spark.createDataFrame(rows, "t string, feed string"), "t", F.col("feed"), *frames(spark)).collect()}
+    fitted = read()
+    assert fitted[rows[0]]["time_reading"] == "slash_mdy" and fitted[rows[1]]["time_reading"] == "slash_dmy"
+    assert fitted[rows[2]]["time_status"] == "impossible" and 0.99 <= fitted[rows[0]]["time_posterior"] < 1
+    real = instants.fit_readings
+    monkeypatch.setattr(instants, "fit_readings", lambda counts: real(counts).withColumn("weights", F.array_repeat(F.lit(0.1), len(instants.ALL) + 1)))
+    flat = read()
+    assert flat[rows[0]]["time_status"] == flat[rows[1]]["time_status"] == "ambiguous" and flat[rows[0]]["instant_us"] is None
 
 
 def test_fields(spark):

@@ -1,11 +1,13 @@
 """Mixed timestamp formats and time zones: one UTC instant (microseconds since 1970) per text, or none.
 
 Every text is read under each reading it admits (ISO, compact stamp, count since 1970, mail date, C date, long
-date, dotted date, slashed date day first, slashed date month first). Per source, expectation-maximisation fits the mixture of
-readings: each text contributes the likelihood it has under each of its valid readings, and the posterior
-chooses. What a registry says of a source enters as a prior that leaves the other reading no weight; an
-unregistered source has no reading for slashed dates and for times without zone unless `infer_order` allows
-the mixture to decide, and then only above `certain`. What stays open is marked 'ambiguous'.
+date, dotted date, slashed date day first, slashed date month first), or taken for noise that states no time. Per
+source, expectation-maximisation fits the mixture of these; each text contributes the likelihood it has under each
+valid reading, and its posterior chooses. A registry enters as prior counts (`STRENGTH` for each text of the source, none for the
+slashed reading that it denies), so that evidence of a source's texts is weighed against what is said of it. A text whose
+best posterior stays below `certain` is marked 'ambiguous'; one that is likelier noise than any reading is 'impossible'.
+A source that is not registered has no zone, and a mixture only where `infer_order` allows one; a text without a source that
+can be judged is one whose slashed date stays 'ambiguous'.
 
 Defined results: null, empty or unreadable text gives no instant with status 'unreadable'; impossible dates or
 times 'impossible'; no time of day 'no_time'; no zone known 'no_zone'; slashed date of an unnamed source
@@ -45,6 +47,9 @@ DMY, MDY = ALL.index("slash_dmy"), ALL.index("slash_mdy")
 OFFSET = r"^([Zz]|[+-]\d{2}(?::?\d{2})?)\s*(?:\[[^\]]*\])?\z"
 PLAIN = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z\z"
 DAY_US = 86_400_000_000
+STRENGTH = 1000.0  # prior counts of a registered source's readings, for each of its texts
+NOISE = 0.005  # likelihood of any text as noise, beside 1 of a valid reading
+WEAK = 1e-3  # prior count of each reading of a source that no registry names
 
 
 def _zones(spark) -> list[str]:
@@ -92,36 +97,37 @@ def fit_readings(counts: DataFrame, rounds: int = 50) -> DataFrame:
     """Expectation-maximisation per source over aggregated counts.
 
     counts: source, registered, day_first, mask (bits of valid readings), n. A source's group holds one row per
-    mask, so its size is bounded by the readings, not by the rows. Returns source, reading, weight.
+    mask, so its size is bounded by the readings, not by the rows. Returns source, weights (of ALL, then of noise).
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         masks, n = pdf["mask"].to_numpy(np.int64), pdf["n"].to_numpy(float)
-        valid = ((masks[:, None] >> np.arange(len(ALL))) & 1).astype(float)
-        allowed = np.ones(len(ALL))
+        valid = np.c_[(masks[:, None] >> np.arange(len(ALL))) & 1, np.full(len(masks), NOISE)].astype(float)
+        prior = np.full(len(ALL) + 1, STRENGTH * n.sum() if pdf["registered"].iloc[0] else WEAK)
         if pdf["registered"].iloc[0]:
-            allowed[MDY if pdf["day_first"].iloc[0] else DMY] = 0.0
-        weight = allowed / allowed.sum()
+            prior[MDY if pdf["day_first"].iloc[0] else DMY] = 0.0
+        weight = np.ones(len(ALL) + 1) / (len(ALL) + 1)
         for _ in range(rounds):
             like = valid * weight
-            total = like.sum(1, keepdims=True)
-            share = np.divide(like, total, out=np.zeros_like(like), where=total > 0)  # posterior of each reading
-            new = (share * n[:, None]).sum(0) + 1e-3 * allowed
+            posterior = like / like.sum(1, keepdims=True)
+            new = (posterior * n[:, None]).sum(0) + prior
             new /= new.sum()
             if np.abs(new - weight).max() < 1e-12:
                 break
             weight = new
+        weight[-1] *= NOISE
         return pd.DataFrame({"source": pdf["source"].iloc[0], "weights": [list(map(float, weight))]})
 
     return counts.groupBy("source").applyInPandas(fit, "source string, weights array<double>")
 
 
 def read_instants(df: DataFrame, text: str, source: Column, publishers: DataFrame, labels: DataFrame,
-                  default_zone: str | None = None, default_day_first: bool | None = None,
+                  default_zone: Column | None = None, default_day_first: Column | None = None,
                   infer_order: bool = False, certain: float = 0.99) -> DataFrame:
-    """Adds instant_us (long), time_status and time_reading. source names the publisher of the row (null: not named).
+    """Adds instant_us (long), time_status, time_reading and time_posterior (of the reading chosen). source names the
+    publisher of the row (null: not named).
 
-    default_zone/default_day_first hold for rows of tables that have no publishers (filings).
+    default_zone and default_day_first hold where they are not null, for rows of tables that have no publishers (filings).
     """
     spark = df.sparkSession
     names = _zones(spark)
@@ -130,8 +136,8 @@ def read_instants(df: DataFrame, text: str, source: Column, publishers: DataFram
     lab = labels.select(F.upper("zone_label").alias("_label"), F.col("utc_offset_minutes").alias("_lab_off"), F.col("zone_name").alias("_lab_zone")).dropDuplicates(["_label"])
     x = F.regexp_replace(F.col(text), r"(?U)\A[\s\p{Cf}]+|[\s\p{Cf}]+\z", "")
     work = df.withColumn("_x", x).withColumn("_src", source.cast("string")).join(pub, "_src", "left")
-    if default_zone:
-        work = work.withColumn("_pub_zone", F.lit(default_zone)).withColumn("_pub_day_first", F.lit(bool(default_day_first)))
+    if default_zone is not None:
+        work = work.withColumns({"_pub_zone": F.coalesce(default_zone, "_pub_zone"), "_pub_day_first": F.coalesce(default_day_first, "_pub_day_first")})
     kind, parts = F.when(F.col("_x").rlike(r"^(\d{10}|\d{13}|\d{16}|\d{19})\z"), len(READINGS)), None
     for i, (k, (pattern, groups)) in enumerate(READINGS.items()):
         if i != MDY:  # both slashed readings share a shape
@@ -144,22 +150,28 @@ def read_instants(df: DataFrame, text: str, source: Column, publishers: DataFram
     work = work.withColumns({"_us": us, "_us2": F.when(F.col("_kind") == DMY, _date_us(part[0], part[2], part[1]) + F.col("_clock"))})
     mask = F.when(F.col("_us").isNotNull(), F.expr("shiftleft(1L, _kind)")).otherwise(F.lit(0).cast("long")) + F.when(F.col("_us2").isNotNull(), 1 << MDY).otherwise(0)
     work = work.withColumn("_mask", mask)
-    source_key = F.coalesce(F.when(F.col("_pub_zone").isNotNull(), F.coalesce(F.col("_src"), F.lit("*"))), F.lit("?"))
-    work = work.withColumn("_key", source_key)
+    registered = F.col("_pub_zone").isNotNull()
+    judged = registered | F.lit(infer_order)
+    # texts without a mixture keep keys of their own, so that they don't meet in one task
+    apart = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("_x"), F.lit(1000)).cast("string"))
+    work = work.withColumn("_key", F.when(registered, F.coalesce("_src", F.lit("*"))).when(F.lit(infer_order), F.concat(F.lit("?"), F.coalesce("_src", F.lit("")))).otherwise(apart))
     # parsed once, read twice: by the fit and by the choice
     work = materialize(work.drop("_parts", "_clock"), "readings")
-    counts = (work.groupBy(F.col("_key").alias("source"), F.col("_mask").alias("mask"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.first("_pub_day_first", True).alias("day_first")))
-    counts = counts.withColumn("registered", F.col("source") != "?").withColumn("day_first", F.coalesce("day_first", F.lit(False)))
+    counts = (work.where(judged).groupBy(F.col("_key").alias("source"), F.col("_mask").alias("mask"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.first("_pub_day_first", True).alias("day_first"), F.bool_or(registered).alias("registered")))
+    counts = counts.withColumn("day_first", F.coalesce("day_first", F.lit(False)))
     work = work.join(fit_readings(counts).withColumnRenamed("source", "_key"), "_key", "left")
-    # posterior of each valid reading of the text; the likelier one is chosen
-    weight = lambda valid, i: F.when(F.col(valid).isNotNull(), F.get("weights", i)).otherwise(F.lit(0.0))
-    work = work.withColumn("_w", weight("_us", F.col("_kind"))).withColumn("_w2", weight("_us2", F.lit(MDY)))
+    # posterior of each valid reading of the text and of noise; without a mixture only a slashed date is open
+    fitted, slashed = F.col("weights").isNotNull(), F.col("_kind") == DMY
+    weight = lambda valid, i: F.when(F.col(valid).isNotNull(), F.coalesce(F.get("weights", i), F.lit(1.0))).otherwise(F.lit(0.0))
+    work = work.withColumns({"_w": weight("_us", F.col("_kind")), "_w2": weight("_us2", F.lit(MDY)), "_noise": F.coalesce(F.get("weights", F.lit(len(ALL))), F.lit(0.0))})
     second = F.col("_w2") > F.col("_w")
-    top, both = F.greatest("_w", "_w2"), F.col("_w") + F.col("_w2")
-    work = (work.withColumn("_i", F.when(top > 0, F.when(second, F.lit(MDY)).otherwise(F.col("_kind"))))
-                .withColumn("_local", F.when(top > 0, F.when(second, F.col("_us2")).otherwise(F.col("_us"))))
-                .withColumn("_open", (F.col("_kind") == DMY) & F.col("_pub_day_first").isNull() & (F.lit(not infer_order) | (top < F.lit(certain) * both)))
+    top = F.greatest("_w", "_w2")
+    work = work.withColumns({"_top": top, "_post": F.try_divide(top, F.col("_w") + F.col("_w2") + F.col("_noise"))})
+    stated = (F.col("_top") > 0) & (F.col("_top") >= F.col("_noise"))
+    work = (work.withColumn("_i", F.when(stated, F.when(second, F.lit(MDY)).otherwise(F.col("_kind"))))
+                .withColumn("_local", F.when(stated, F.when(second, F.col("_us2")).otherwise(F.col("_us"))))
+                .withColumn("_open", stated & F.when(fitted, F.col("_post") < certain).otherwise(slashed))
                 .withColumn("_reading", F.get(F.array(*map(F.lit, ALL)), F.col("_i"))))
     bare = F.regexp_replace("_tail", r"^\[(.*)\]\z", "$1")
     work = work.withColumn("_label", F.upper(bare)).join(F.broadcast(lab) if labels.count() <= 10_000 else lab, "_label", "left")
@@ -183,23 +195,22 @@ def read_instants(df: DataFrame, text: str, source: Column, publishers: DataFram
                .when(F.col("_i").isNotNull(), F.when(F.col("_tail") == "", "no_zone").otherwise("unreadable"))
                .when(F.col("_x").rlike(r"^(\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{8})\z"), "no_time")
                .when(F.col("_kind").isNotNull(), "impossible").otherwise("unreadable"))
-    return work.select(*[F.col(c) for c in df.columns], instant.cast("long").alias("instant_us"), status.alias("time_status"), F.col("_reading").alias("time_reading"))
+    return work.select(*[F.col(c) for c in df.columns], instant.cast("long").alias("instant_us"), status.alias("time_status"), F.col("_reading").alias("time_reading"), F.when(F.col("_i").isNotNull() & fitted, F.col("_post")).alias("time_posterior"))
 
 
 def named_fields(news: DataFrame | None, filings: DataFrame | None, observations: DataFrame | None, publishers: DataFrame, labels: DataFrame) -> DataFrame:
     """The three time columns of the project as field_name, record_key, time_text, instant_us, time_status, time_reading."""
     feed = lambda c: F.get_json_object(c, "$.feed_name")
-    parts = []
-    if news is not None:
-        parts.append(read_instants(news.select(F.lit("published_time").alias("field_name"), F.col("id").alias("record_key"), F.col("published_time").alias("time_text"), feed("metadata").alias("feed")), "time_text", F.col("feed"), publishers, labels))
-    if observations is not None:
-        parts.append(read_instants(observations.select(F.lit("source_time_raw").alias("field_name"), F.col("id").alias("record_key"), F.col("source_time_raw").alias("time_text"), feed("source_item").alias("feed")), "time_text", F.col("feed"), publishers, labels))
-    if filings is not None:
-        parts.append(read_instants(filings.select(F.lit("acceptance_time").alias("field_name"), F.col("accession_number").alias("record_key"), F.col("acceptance_time").alias("time_text"), F.lit(None).cast("string").alias("feed")), "time_text", F.col("feed"), publishers, labels, default_zone="America/New_York", default_day_first=False))
-    out = parts[0]
+    slim = lambda df, field, key, of, zone=None: df.select(
+        F.lit(field).alias("field_name"), F.col(key).alias("record_key"), F.col(field).alias("time_text"), of.cast("string").alias("feed"),
+        F.lit(zone).cast("string").alias("zone0"), F.lit(None if zone is None else False).cast("boolean").alias("day_first0"))
+    parts = [slim(df, *how) for df, how in (
+        (news, ("published_time", "id", feed("metadata"))), (observations, ("source_time_raw", "id", feed("source_item"))),
+        (filings, ("acceptance_time", "accession_number", F.lit(None), "America/New_York"))) if df is not None]
+    rows = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("feed")
+        rows = rows.unionByName(p)
+    return read_instants(rows, "time_text", F.col("feed"), publishers, labels, F.col("zone0"), F.col("day_first0")).drop("feed", "zone0", "day_first0")
 
 
 def found_instants(fields: DataFrame) -> DataFrame:

@@ -8,12 +8,18 @@ Defined results: a row without event time or arrival has no period ('no_period')
 group columns form their own group; null values count as rows but enter no median, distinct or extreme;
 repeated rows count each time; an empty table gives an empty result.
 """
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tidemark.shared import discard, drop, get_json, materialize, put_json, scratch
+
 HOUR_US = 3_600_000_000
 BUCKET = 4096
+LAST = 2**40  # batch of rows without arrival
 
 
 def period_text(start_us: Column) -> Column:
@@ -32,14 +38,85 @@ def with_fates(df: DataFrame, event_us: Column, arrival_us: Column, period_us: i
 
 
 def multiset_state(fates: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The state: keys, value, n_first (on time), n_all (with corrections); map-side combined."""
-    return (fates.where(F.col("fate").isin("on_time", "corrects")).groupBy(*keys, F.col(value).alias("value"))
-                 .agg(F.count_if(F.col("fate") == "on_time").alias("n_first"), F.count(F.lit(1)).alias("n_all")))
+    """A batch in the state's form: keys, value, n_first (on time), n_all (with corrections), n_refused; map-side combined."""
+    return (fates.where(F.col("fate") != "no_period").groupBy(*keys, F.col(value).alias("value"))
+                 .agg(F.count_if(F.col("fate") == "on_time").alias("n_first"), F.count_if(F.col("fate") != "refused").alias("n_all"),
+                      F.count_if(F.col("fate") == "refused").alias("n_refused")))
 
 
 def apply_late(state: DataFrame, late: DataFrame, keys: list[str]) -> DataFrame:
     """Adjusts the counts of a stored state by those of later rows (both in multiset_state's form)."""
-    return state.unionByName(late).groupBy(*keys, "value").agg(F.sum("n_first").alias("n_first"), F.sum("n_all").alias("n_all"))
+    return state.unionByName(late).groupBy(*keys, "value").agg(*[F.sum(c).alias(c) for c in ("n_first", "n_all", "n_refused")])
+
+
+class PeriodState:
+    """The stored multiset of every period, corrected batch by batch as rows arrive.
+
+    A batch is written once, as a log of its rows with their periods and fates; the manifest names the logs that hold. Every
+    `merge_every` batches their value counts adjust the stored state (apply_late) in a new table; reading adds the few
+    logs behind it. A batch costs what its own rows cost; a batch number that was added before changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], value: str, period_us: int = HOUR_US, cutoff_us: int = 72 * HOUR_US, merge_every: int = 8):
+        self.spark, self.root, self.keys, self.value, self.merge_every = spark, root, keys, value, merge_every
+        self.period_us, self.cutoff_us, self.manifest = period_us, cutoff_us, f"{root}/manifest.json"
+
+    def _load(self) -> dict:
+        return get_json(self.manifest) or {"batches": [], "state": None, "behind": [], "log": None, "form": None}
+
+    def add(self, rows: DataFrame, batch: int) -> None:
+        """rows: the columns to keep in the log, event_us, arrival_us and the value; keys other than period_us are columns."""
+        held = self._load()
+        if batch in held["batches"]:
+            return
+        logged = with_fates(rows, F.col("event_us"), F.col("arrival_us"), self.period_us, self.cutoff_us)
+        logged.write.mode("overwrite").parquet(f"{self.root}/log/{batch:06d}")
+        held |= {"batches": [*held["batches"], batch], "behind": [*held["behind"], batch], "log": logged.schema.json()}
+        old = held["state"]
+        if len(held["behind"]) >= self.merge_every:
+            merged, path = self._state(held), f"{self.root}/state/{batch:06d}"
+            merged.write.mode("overwrite").parquet(path)
+            held |= {"state": path, "behind": [], "form": merged.schema.json()}
+        put_json(self.manifest, held)
+        if old and old != held["state"]:
+            drop(old)
+
+    def _read(self, form: str, *paths: str) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(json.loads(form))).parquet(*paths)
+
+    def _log(self, held: dict, batches: list[int]) -> DataFrame:
+        return self._read(held["log"], *[f"{self.root}/log/{b:06d}" for b in batches])
+
+    def _state(self, held: dict) -> DataFrame:
+        stored = self._read(held["form"], held["state"]) if held["state"] else None
+        if not held["behind"]:
+            return stored
+        late = multiset_state(self._log(held, held["behind"]), self.keys, self.value)
+        return late if stored is None else apply_late(stored, late, self.keys)
+
+    def state(self) -> DataFrame:
+        """keys, value, n_first, n_all, n_refused with all corrections so far."""
+        return self._state(self._load())
+
+    def log(self) -> DataFrame:
+        """Every row added, with period_us and fate."""
+        held = self._load()
+        return self._log(held, held["batches"])
+
+
+def replay(rows: DataFrame, keys: list[str], value: str, batch_us: int = 7 * 24 * HOUR_US) -> PeriodState:
+    """Run a whole table (event_us, arrival_us, value, keys, columns for the log) through a new state in batches of arrival time;
+    rows without arrival come last."""
+    spark = rows.sparkSession
+    held = materialize(rows.withColumn("batch", F.coalesce(F.floor(F.col("arrival_us") / batch_us), F.lit(LAST))), "late-batches", ["batch"])
+    state = PeriodState(spark, scratch(spark, "periods"), keys, value)
+    numbers = sorted(r["batch"] for r in held.select("batch").distinct().collect())  # one row per batch
+    for i, number in enumerate(numbers):
+        state.add(held.where(F.col("batch") == number).drop("batch"), i)
+    if not numbers:
+        state.add(rows, 0)
+    discard(held)
+    return state
 
 
 def _same(keys: list[str], prefix: str) -> Column:
@@ -70,11 +147,8 @@ def derive(state: DataFrame, keys: list[str], count: str) -> DataFrame:
     return whole.join(mid, _same(keys, "m_"), "left").select(*keys, "n", "n_distinct", "least", "most", "median")
 
 
-def period_report(fates: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group and period: counts before and after correction, refused rows, and re-derived statistics."""
-    state = multiset_state(fates, keys, value)
-    counts = (fates.where(F.col("fate") != "no_period").groupBy(*keys)
-                   .agg(F.count_if(F.col("fate") == "on_time").alias("n_first"), F.count_if(F.col("fate") == "corrects").alias("n_corrections"),
-                        F.count_if(F.col("fate") == "refused").alias("n_refused")))
+def period_report(state: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and period, from the state alone: counts before and after correction, refused rows, and re-derived statistics."""
+    counts = state.groupBy(*keys).agg(F.sum("n_first").alias("n_first"), F.sum(F.col("n_all") - F.col("n_first")).alias("n_corrections"), F.sum("n_refused").alias("n_refused"))
     stats = derive(state, keys, "n_all").select(*[F.col(k).alias("s_" + k) for k in keys], F.col("n").alias("n_final"), "n_distinct", "least", "most", "median")
     return counts.join(stats, _same(keys, "s_"), "left").select(*keys, "n_first", "n_corrections", F.coalesce("n_final", F.lit(0)).alias("n_final"), "n_refused", "n_distinct", "least", "most", "median")
