@@ -72,7 +72,7 @@ def search_run(uri: str, dtype: np.dtype, wanted: np.ndarray) -> tuple[np.ndarra
 
 
 class Manifest:
-    """The live runs of an index, in order; replaced as a whole after each finished batch or merge."""
+    """The live runs of an index; replaced as a whole after each finished batch or merge."""
 
     def __init__(self, root: str):
         self.root, self.uri = root, f"{root}/manifest.json"
@@ -84,6 +84,16 @@ class Manifest:
         put_json(self.uri, state)
 
 
+def full_level(runs: list, fan: int) -> list:
+    """Runs are [name, level]: those of the lowest level that holds `fan` or more, else none. Merging them into one run of the
+    next level keeps the number of live runs logarithmic and rewrites every entry a logarithmic number of times."""
+    for level in sorted({r[1] for r in runs}):
+        same = [r for r in runs if r[1] == level]
+        if len(same) >= fan:
+            return same
+    return []
+
+
 def compact(spark, root: str, runs: list[str], parts: int, dtype: np.dtype, name: str) -> str:
     """Merge runs into one, range by range, in parallel; the old files stay until the manifest changes."""
 
