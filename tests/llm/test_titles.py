@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 import numpy as np
 import pytest
 
+from tidemark.llm import history_dedup
 from tidemark.llm.history_dedup import refused_pairs, refused_titles
 from tidemark.llm.near_duplicates import ESTIMATORS, alike_groups, alike_pairs, collision_rate, corrected, registers
 
@@ -86,10 +87,13 @@ def sequential(rows):
     return out
 
 
-@pytest.mark.parametrize("days", [7, 60])
-def test_refused_rows_follow_the_sequential_rule(spark, days):
+@pytest.mark.parametrize("days, solo, renew, block", [(1, 5_000, 50, 2_000), (14, 0, 50, 10), (60, 0, 1_000, 2_000)])
+def test_refused_rows_follow_the_sequential_rule(spark, monkeypatch, days, solo, renew, block):
+    """Single days in one task each, and spread batches with hot keys cut into blocks; the order renewed on the way."""
+    monkeypatch.setattr(history_dedup, "RENEW", renew)
+    monkeypatch.setattr(history_dedup, "BLOCK", block)
     rows = data()
-    got = [tuple(r) for r in refused_pairs(spark.createDataFrame(rows, SCHEMA), batch_days=days).collect()]
+    got = [tuple(r) for r in refused_pairs(spark.createDataFrame(rows, SCHEMA), batch_days=days, solo=solo).collect()]
     assert len(got) == len(set(got)) and set(got) == sequential(rows)
 
 

@@ -25,10 +25,14 @@ def class_id(elems: Column) -> Column:
     return F.unhex(F.md5(F.array_join(F.transform(elems, lambda x: F.hex(x)), ",")))
 
 
+def least_count(n: int, share: int = SHARE) -> int:
+    """Document count from which an element of n sets is common."""
+    return max(3, -(-n // share))
+
+
 def common_elements(classes: DataFrame, share: int = SHARE) -> np.ndarray:
     """(hash, count) of common elements, ordered by hash."""
-    n = classes.count()
-    least = max(3, -(-n // share))
+    least = least_count(classes.count(), share)
     rows = (classes.select(F.explode("elems").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)).toPandas()
     out = np.array([rows["e"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)])
     return out[:, np.argsort(out[0])]
