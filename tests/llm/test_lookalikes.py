@@ -32,6 +32,12 @@ def test_pairs(spark):
     assert L.same_looking(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_groups(spark):
+    rows = [(1, "price up"), (2, "price up"), (4, "prіce up"), (5, "price down"), (6, None), (7, None), (8, ""), (9, "\u200b"), (10, "a\tb"), (11, "a b"), (1, "price up")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in L.reading_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == {1: (1, 2, 3), 2: (1, 2, 3), 4: (1, 2, 3), 5: (5, 1, 1), 6: (6, 1, 1), 7: (7, 1, 1), 8: (8, 2, 2), 9: (8, 2, 2), 10: (10, 2, 2), 11: (10, 2, 2)}
+
+
 def test_letter_classes():
     for letters in L.SCRIPTS:
         assert all(L.canonical(f"x{a}x") == L.canonical(f"x{b}x") for a, b in letters.items()), letters

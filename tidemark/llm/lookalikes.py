@@ -27,7 +27,7 @@ from tidemark.shared import materialize
 # take the same letter unless they are drawn alike themselves.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХаеорсухѕіјһԁԛԝԌԚԜӀӏУҮүѴѵҽӘәӔӕӨөѲѳӠӡԐԑҪҫћѰѱ", "ABESIJKMHOPCTXaeopcyxsijhdqwGQWIlYYyVveƏəÆæƟɵƟɵƷʒƐεÇçħΨψ"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϹͿϳαγιρυκβϒϜϷϸϺΓΠΦφͶͷϽͻµ", "ABEZHIKMNOPTYXovcCJjayipuкßYFÞþMГПФфИиƆɔμ"))
-LATIN = {"ı": "ı"} | dict(zip("ɡɑɩᴄᴏᴠᴡᴢꜱʙʜᴍᴛĸᴋᴎᴙᴫᴦᴨɛɜɸÐƉǝƩɅᴧᴐꭓꞵ", "gaicovwzsвнмтккиялгпεзфĐĐəΣΛʌɔχß")) | {"ʣ": "dz", "ʦ": "ts", "ʪ": "ls", "ʫ": "lz"}
+LATIN = dict(zip("ɡɑɩᴄᴏᴠᴡᴢꜱʙʜᴍᴛĸᴋᴎᴙᴫᴦᴨɛɜɸÐƉǝƩɅᴧᴐꭓꞵ", "gaicovwzsвнмтккиялгпεзфĐĐəΣΛʌɔχß")) | {"ʣ": "dz", "ʦ": "ts", "ʪ": "ls", "ʫ": "lz"}
 ARMENIAN = dict(zip("ՍՏՕԼհյոսօզց", "USOLhjnuoqg"))
 CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏙᏚᏞᏟᏢᏦᏧᏴꮓꮩꮪꮃꮯ", "DRTiAJEWMHYGhZbVSLCPKdBzvswc"))
 LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
@@ -115,17 +115,36 @@ def quick_check() -> str:
     return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in stable if a < 0x10000) + "]"
 
 
+def _ascii_unstable() -> str:
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{min(b, 0x7F):X}}}" for a, b in tables()[1] if a < 0x80) + "]"
+
+
 def canonical_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
-    """id, canonical, changed; stable texts pass through without leaving the JVM."""
+    """id, raw, canonical. Texts are scanned once: pure ASCII by their lengths, others by the quick check; stable texts never
+    leave the JVM."""
 
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
         return texts.map(canonical, na_action="ignore")
 
-    rows = df.select(F.col(ident).alias("id"), F.col(text).alias("raw"))
-    unstable = F.coalesce(F.col("raw").rlike(quick_check()), F.lit(False))
-    stable = rows.where(~unstable).select("id", "raw", F.col("raw").alias("canonical"))
-    return stable.unionByName(rows.where(unstable).select("id", "raw", form("raw").alias("canonical")))
+    raw = F.col("raw")
+    ascii = F.octet_length(raw) == F.char_length(raw)
+    unstable = F.when(ascii, raw.rlike(_ascii_unstable())).otherwise(raw.rlike(quick_check()))
+    rows = df.select(F.col(ident).alias("id"), F.col(text).alias("raw")).withColumn("formed", form(F.when(unstable, raw)))
+    return rows.select("id", "raw", F.coalesce("formed", "raw").alias("canonical"))
+
+
+def reading_groups(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """One row per document: doc_id, group_id (least id of the documents that read the same), n_texts (different texts among them),
+    n_documents. Null texts are alone. Copies are counted, never paired."""
+    rows = df.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("text")).distinct()
+    forms = canonical_texts(rows.where("text is not null"), "id", "text")
+    rows_ = materialize(forms.select("id", F.unhex(F.md5("canonical")).alias("form"), F.unhex(F.sha2("raw", 256)).alias("raw")), "forms")
+    texts = rows_.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    groups = texts.groupBy("form").agg(F.min("first").alias("group_id"), F.count(F.lit(1)).alias("n_texts"), F.sum("n").alias("n_documents"))
+    read = rows_.join(groups, "form").select(F.col("id").alias("doc_id"), "group_id", "n_texts", "n_documents")
+    one = F.lit(1).cast("long")
+    return read.unionByName(rows.where("text is null").select(F.col("id").alias("doc_id"), F.col("id").alias("group_id"), one.alias("n_texts"), one.alias("n_documents")))
 
 
 def same_looking(df: DataFrame, ident: str, text: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of the training-data problems on vectors and texts (1 and 6 to 10), and their SQL where SQL can say the same."""
 from tidemark.llm.history_dedup import refused_pairs
-from tidemark.llm.lookalikes import canonical_texts, same_looking
+from tidemark.llm.lookalikes import canonical_texts, reading_groups, same_looking
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.near_duplicates import alike_groups, alike_pairs
 from tidemark.llm.neighbours import most_similar, similar_pairs
@@ -53,7 +53,11 @@ def p10_canonical(spark, d):
     return forms.select("id", "canonical", (forms["raw"] != forms["canonical"]).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p6_found, p7_found, p7_groups, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_canonical)}
+def p10_groups(spark, d):
+    return reading_groups(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p6_found, p7_found, p7_groups, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_canonical, p10_groups)}
 _TOP = """WITH u AS (SELECT result_id, embedding::DOUBLE[] AS e FROM dedup_results WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
  v AS (SELECT result_id, e, sqrt(list_dot_product(e, e)) AS n FROM u),
  s AS (SELECT a.result_id AS id, b.result_id AS other, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS similarity FROM v a JOIN v b ON a.result_id <> b.result_id),
