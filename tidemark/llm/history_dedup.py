@@ -8,7 +8,7 @@ compared. Accepted titles become a new run; `fan` runs of a level are merged int
 batch sees logarithmically many runs. A day's work therefore follows the day, not the history.
 
 The rule is sequential (by ingested_time, then id; refused rows refuse nothing), its result does not depend on
-how rows are cut into batches. A batch of at most `solo` rows is taken in order by one task, one job a batch. A larger
+how rows are cut into batches. Small batches are taken in order by one task (at most `solo` rows a task). A larger
 one is spread: history search by key range and salt, windows within the batch by key range, hot keys in
 pairs of blocks, and the rule solved in rounds: rows with no undecided earlier alike row are accepted, what they are alike to
 is refused, refused rows lose their say. Both ways give the same rows.
@@ -136,53 +136,71 @@ class NeighbourhoodIndex:
         self.spark, self.root, self.ranges, self.fan, self.solo = spark, root, ranges, fan, solo
         self.manifest = Manifest(root)
 
-    def add(self, rows: DataFrame, n: int) -> DataFrame:
-        """rows: id, at (microseconds), elems, cid; n: how many. Returns refused rows as id_a (accepted), id_b (refused)."""
-        state = {"rows": 0, "order": None, "ordered": 0} | self.manifest.load()
-        rows = rows.where(F.size("elems") > 0)
-        out, run = (self._alone if n <= self.solo else self._spread)(rows, n, state)
-        live = [*[r for r in state["runs"] if r[0] not in run[3]], run[:3]]
-        batch = state["batches"]
-        state |= {"batches": batch + 1, "rows": state["rows"] + n, "order": state["order"] or f"order-{batch:06d}.bin", "ordered": state["ordered"] or n}
-        if state["rows"] >= 2 * max(state["ordered"], RENEW):
-            live = [self._renew(state)]
-        while full := full_level(live, self.fan):
-            level = full[0][1] + 1
-            name = compact(self.spark, self.root, [r[0] for r in full], self.ranges, ENTRY, f"merged-{batch:06d}-{level}")
-            live = [*[r for r in live if r not in full], [name, level, sum(r[2] for r in full)]]
-        self.manifest.save(state | {"runs": live})
-        return out
-
-    def _keep(self, refused: DataFrame, batch: int) -> DataFrame:
-        path = f"{self.root}/refused/{batch:06d}"
-        refused.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(PAIR).parquet(path)
+    def add(self, rows: DataFrame, n: int) -> None:
+        """One batch. rows: id, at (microseconds), elems, cid; n: how many."""
+        self.add_all(rows.withColumn("batch", F.lit(0)), [(0, n)])
+
+    def add_all(self, rows: DataFrame, batches: list[tuple[int, int]]) -> None:
+        """Consecutive batches, each against all before it. rows has a column batch; batches names them in order, with their
+        counts. Small ones that together have at most `solo` rows share a task, in which each is still searched, decided and
+        written on its own."""
+        todo = list(batches)
+        while todo:
+            take, n = 1, todo[0][1]
+            while take < len(todo) and n + todo[take][1] <= self.solo:
+                n += todo[take][1]
+                take += 1
+            now, todo = todo[:take], todo[take:]
+            state = {"rows": 0, "order": None, "ordered": 0} | self.manifest.load()
+            some = rows.where((F.size("elems") > 0) & F.col("batch").isin([k for k, _ in now]))
+            batch = state["batches"]
+            live = (self._alone if n <= self.solo else self._spread)(some, now, state)
+            state |= {"batches": batch + len(now), "rows": state["rows"] + n, "order": state["order"] or f"order-{batch:06d}.bin", "ordered": state["ordered"] or now[0][1]}
+            if state["rows"] >= 2 * max(state["ordered"], RENEW):
+                live = [self._renew(state)]
+            while full := full_level(live, self.fan):
+                level = full[0][1] + 1
+                name = compact(self.spark, self.root, [r[0] for r in full], self.ranges, ENTRY, f"merged-{batch:06d}-{level}")
+                live = [*[r for r in live if r not in full], [name, level, sum(r[2] for r in full)]]
+            self.manifest.save(state | {"runs": live})
+
+    def _keep(self, refused: DataFrame, batch: int) -> None:
+        refused.write.mode("overwrite").parquet(f"{self.root}/refused/first={batch}")
 
     def refused(self) -> DataFrame:
-        """The refused rows of all batches."""
-        done = self.manifest.load()["batches"]
-        paths = [f"{self.root}/refused/{b:06d}" for b in range(done)]
-        return self.spark.read.schema(PAIR).parquet(*paths) if paths else self.spark.createDataFrame([], PAIR)
-
-    # -- a small batch: one task, in order -------------------------------------------------------------------------
-
-    def _alone(self, rows: DataFrame, n: int, state: dict):
-        root, ranges, batch, order = self.root, self.ranges, state["batches"], state["order"]
-        runs = [r[0] for r in state["runs"]]
-        low = [r for r in state["runs"] if r[1] == 0]
-        merge = [r[0] for r in low] if len(low) + 1 >= self.fan and n + sum(r[2] for r in low) <= self.fan * self.solo else []
-        name, decide = f"run-{batch:06d}", self._decide
-
-        def day(batches):
-            pdf = pd.concat([pd.DataFrame(columns=["id", "at", "elems", "cid"]), *(b for b in batches if len(b))])
-            out = []
+        """Refused rows of all batches as id_a (accepted), id_b (refused)."""
+        if not self.manifest.load()["batches"]:
+            return self.spark.createDataFrame([], PAIR)
+        return self.spark.read.schema(PAIR).parquet(f"{self.root}/refused").select("id_a", "id_b")
+
+    # -- small batches: one task, in order -------------------------------------------------------------------------
+
+    def _steps(self, days: list[tuple[int, int]], state: dict) -> tuple[list, list]:
+        """What each day reads, merges and writes, and the runs that live afterwards; follows from the counts alone."""
+        steps, live = [], list(state["runs"])
+        for i, (key, n) in enumerate(days):
+            low = [r for r in live if r[1] == 0]
+            merge = low if len(low) + 1 >= self.fan and n + sum(r[2] for r in low) <= self.fan * self.solo else []
+            run = [f"run-{state['batches'] + i:06d}", 1 if merge else 0, n + sum(r[2] for r in merge)]
+            steps.append((key, state["batches"] + i, [r[0] for r in live], run[0], [r[0] for r in merge]))
+            live = [*[r for r in live if r not in merge], run]
+        return steps, live
+
+    def _alone(self, rows: DataFrame, days: list[tuple[int, int]], state: dict) -> list:
+        root, ranges, decide = self.root, self.ranges, self._decide
+        steps, live = self._steps(days, state)
+        order = state["order"] or f"order-{state['batches']:06d}.bin"
+        unordered = not state["order"]
+
+        def one(pdf: pd.DataFrame, batch: int, runs: list, name: str, merge: list, first_order: bool) -> list:
+            out, flat, made = [], np.zeros(0, np.int64), np.zeros(0, ENTRY)
             if len(pdf):
                 pdf = pdf.sort_values(["at", "id"]).reset_index(drop=True)
                 heads = pdf.drop_duplicates("cid").reset_index(drop=True)
                 lists = [np.asarray(x, np.int64) for x in heads["elems"]]
-                if order is None:
-                    put_bytes(f"{root}/order-{batch:06d}.bin", _counted(lists, len(lists)).tobytes())
-                keys = _prefix(lists, _order(root, order or f"order-{batch:06d}.bin"))
+                if first_order:
+                    put_bytes(f"{root}/{order}", _counted(lists, len(lists)).tobytes())
+                keys = _prefix(lists, _order(root, order))
                 partner = decide(root, runs, ranges, heads, lists, keys)
                 first = dict(zip(heads["cid"], zip(heads["id"], partner)))
                 for ident, cid in zip(pdf["id"], pdf["cid"]):
@@ -190,25 +208,31 @@ class NeighbourhoodIndex:
                     if by is not None or ident != head:
                         out.append((by or head, ident))
                 kept = [i for i, by in enumerate(partner) if by is None]
-                records = [_record(heads["at"][i], heads["id"][i], lists[i]) for i in kept]
-                put_bytes(_blob(root, batch, 0), *records)
-                lengths = np.array([len(r) for r in records], np.int64)
-                times = [len(keys[i]) for i in kept]
-                flat = np.concatenate([keys[i] for i in kept]) if kept else np.zeros(0, np.int64)
-                made = _entries(batch, 0, [len(lists[i]) for i in kept], _signatures([lists[i] for i in kept]) if kept else [], np.cumsum(lengths) - lengths, lengths)
-                made = np.repeat(made, times)
-            else:
-                flat, made = np.zeros(0, np.int64), np.zeros(0, ENTRY)
+                if kept:
+                    records = [_record(heads["at"][i], heads["id"][i], lists[i]) for i in kept]
+                    put_bytes(_blob(root, batch, 0), *records)
+                    lengths = np.array([len(r) for r in records], np.int64)
+                    flat = np.concatenate([keys[i] for i in kept])
+                    made = _entries(batch, 0, [len(lists[i]) for i in kept], _signatures([lists[i] for i in kept]), np.cumsum(lengths) - lengths, lengths)
+                    made = np.repeat(made, [len(keys[i]) for i in kept])
             part = np.mod(flat, ranges)
             for r in range(ranges):
                 pieces = [read_run(run_file(root, m, r), ENTRY) for m in merge]
                 k = np.concatenate([flat[part == r].view(np.uint64), *[p[0] for p in pieces]])
                 if len(k):
                     write_run(run_file(root, name, r), k, np.concatenate([made[part == r], *[p[1] for p in pieces]]))
-            yield pd.DataFrame(out, columns=["id_a", "id_b"])
+            return out
+
+        def run(batches):
+            pdf = pd.concat([pd.DataFrame(columns=["id", "at", "elems", "cid", "batch"]), *(b for b in batches if len(b))])
+            first = unordered
+            for key, batch, runs, name, merge in steps:
+                day = pdf[pdf["batch"] == key]
+                yield pd.DataFrame(one(day, batch, runs, name, merge, first), columns=["id_a", "id_b"])
+                first = first and not len(day)
 
-        out = self._keep(rows.select("id", "at", "elems", "cid").coalesce(1).mapInPandas(day, PAIR), batch)
-        return out, [name, 1 if merge else 0, n + sum(r[2] for r in low if r[0] in merge), merge]
+        self._keep(rows.select("id", "at", "elems", "cid", "batch").coalesce(1).mapInPandas(run, PAIR), state["batches"])
+        return live
 
     @staticmethod
     def _decide(root: str, runs: list, ranges: int, heads: pd.DataFrame, lists: list, keys: list) -> list:
@@ -244,7 +268,8 @@ class NeighbourhoodIndex:
 
     # -- a large batch: spread over the cluster --------------------------------------------------------------------
 
-    def _spread(self, rows: DataFrame, n: int, state: dict):
+    def _spread(self, rows: DataFrame, days: list[tuple[int, int]], state: dict) -> list:
+        n = days[0][1]
         root, ranges, batch, runs = self.root, self.ranges, state["batches"], [r[0] for r in state["runs"]]
         first = F.struct("at", "id")
         heads = rows.groupBy("cid").agg(F.min(first).alias("h"), F.first("elems").alias("elems")).select("cid", F.col("h.id").alias("id"), F.col("h.at").alias("at"), "elems")
@@ -314,7 +339,7 @@ class NeighbourhoodIndex:
         partner = edges.join(refused.withColumnRenamed("id", "a"), "a", "left_anti").groupBy("b").agg(F.min(F.struct("a_at", "a"))["a"].alias("partner")).withColumnRenamed("b", "id")
         decided = materialize(heads.select("cid", "id").join(partner, "id", "left"), "decided")
         per_class = decided.select("cid", F.col("id").alias("head"), "partner")
-        out = self._keep(rows.select("id", "cid").distinct().join(per_class, "cid").select(F.coalesce("partner", "head").alias("id_a"), F.col("id").alias("id_b")).where(F.col("id_a") != F.col("id_b")), batch)
+        self._keep(rows.select("id", "cid").distinct().join(per_class, "cid").select(F.coalesce("partner", "head").alias("id_a"), F.col("id").alias("id_b")).where(F.col("id_a") != F.col("id_b")), batch)
         accepted = keys.join(decided.where("partner is null").select("id"), "id", "left_semi").withColumn("home", F.pmod(F.xxhash64("id"), F.lit(ranges)).cast("int"))
 
         def store(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -329,7 +354,7 @@ class NeighbourhoodIndex:
         self._write(stored, name)
         for df in (*made, heads, keys, edges, decided, stored):
             discard(df)
-        return out, [name, 0, n, []]
+        return [*state["runs"], [name, 0, n]]
 
     def _common(self, rows: DataFrame, n: int) -> np.ndarray:
         counts = rows.select(F.explode("elems").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least_count(n)).toPandas()
@@ -402,8 +427,7 @@ def refused_titles(df: DataFrame, ident: str = "id", title: str = "title", at: s
     found = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).orderBy("batch").collect()  # one row per batch
     total, most = sum(r["n"] for r in found), max([r["n"] for r in found], default=0)
     index = NeighbourhoodIndex(spark, scratch(spark, "neighbourhood"), max(1, -(-most // 5_000), -(-total // 100_000)), solo=solo)
-    for r in found:
-        index.add(rows.where(F.col("batch") == r["batch"]).drop("batch"), r["n"])
+    index.add_all(rows, [(r["batch"], r["n"]) for r in found])
     discard(rows)
     return index.refused()
 
