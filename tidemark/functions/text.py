@@ -90,6 +90,13 @@ def profile_text(p: Column) -> Column:
     return F.array_join(F.concat(F.transform(p["pos"], lambda w: F.concat(F.lit("+"), w)), F.transform(p["neg"], lambda w: F.concat(F.lit("-"), w))), ",")
 
 
+def parse_profile(text: Column) -> Column:
+    """The struct that profile_text wrote."""
+    parts = F.split(text, ",")
+    side = lambda sign: F.transform(F.filter(parts, lambda w: w.startswith(sign)), lambda w: F.substring(w, 2, 1000))
+    return F.struct(side("+").alias("pos"), side("-").alias("neg"))
+
+
 @lru_cache(maxsize=1)
 def antonyms() -> dict[str, list[str]]:
     """Symmetric closure of the antonym pairs."""

@@ -24,15 +24,24 @@ def prefix_keys(df: DataFrame, ident: str, elems: str, threshold: float) -> Data
     return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select(ident, "key")
 
 
-def similar_rows(df: DataFrame, ident: str, elems: str, threshold: float) -> DataFrame:
-    """a, b, score: all pairs with Jaccard >= threshold (a < b), exact."""
-    base = materialize(df.select(F.col(ident).alias("id"), F.col(elems).alias("e")).where(F.size("e") > 0), "similar")
-    keys = materialize(prefix_keys(base, "id", "e", threshold), "prefixes")
-    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+def similar_rows(df: DataFrame, ident: str, elems: str, threshold: float, side: str | None = None) -> DataFrame:
+    """a, b, score: all pairs with Jaccard >= threshold (a < b), exact; with `side` only pairs of two sides, `a` on the lesser one.
+    Callers fold equal sets first (folded), so that copies make no pairs."""
+    base = materialize(df.select(F.col(ident).alias("id"), F.col(elems).alias("e"), (F.col(side) if side else F.lit("")).alias("side")).where(F.size("e") > 0), "similar")
+    keys = materialize(prefix_keys(base, "id", "e", threshold).join(base.select("id", "side", F.size("e").alias("n")), "id"), "prefixes")
+    order = (F.col("x.side") < F.col("y.side")) if side else (F.col("x.id") < F.col("y.id"))
+    fits = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
+    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & order & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     full = met.join(base.select(F.col("id").alias("a"), F.col("e").alias("ea")), "a").join(base.select(F.col("id").alias("b"), F.col("e").alias("eb")), "b")
     return full.withColumn("score", jaccard(F.col("ea"), F.col("eb"))).where(F.col("score") >= threshold).select("a", "b", "score")
 
 
+def folded(df: DataFrame, ident: str, elems: str, *by: str) -> DataFrame:
+    """One row per distinct element set (and columns `by`): the least ident, the set, copies."""
+    key = F.sha2(F.to_json(elems), 256)
+    return df.groupBy(*by, key.alias("_set")).agg(F.min(ident).alias(ident), F.first(elems).alias(elems), F.count(F.lit(1)).alias("copies")).drop("_set")
+
+
 def jump(parents: DataFrame) -> DataFrame:
     """version_id, root from version_id, parent (null: root): doubling until nothing moves."""
     cur = materialize(parents.select("version_id", F.coalesce("parent", "version_id").alias("root")), "roots")
@@ -44,6 +53,22 @@ def jump(parents: DataFrame) -> DataFrame:
             return cur
 
 
+def earliest_of_class(info: DataFrame, alike: DataFrame, window_hours: int) -> DataFrame:
+    """version_id, parent: of the rows (version_id, t, o, class c) that ask, the best earlier row of the window in a class that is alike
+    (a asks, b answers, score): highest score, then earliest. A frame over each pair of classes and day finds a class's
+    earliest row, so copies never meet in pairs and no group is larger than two days of two classes."""
+    span = window_hours * 3_600_000_000
+    day = F.floor(F.col("t") / span)
+    me = F.struct("t", "o", "version_id")
+    asks = info.where("asks").select(F.col("c").alias("a"), "t", me.alias("me"), day.alias("day"), F.lit(True).alias("asking"))
+    held = info.select(F.col("c").alias("b"), "t", me.alias("me"), F.explode(F.array(day, day + 1)).alias("day"), F.lit(False).alias("asking"))
+    columns = ["a", "b", "score", "t", "me", "day", "asking"]
+    both = asks.join(alike, "a").select(columns).unionByName(held.join(alike, "b").select(columns))
+    frame = Window.partitionBy("a", "b", "day").orderBy("t").rangeBetween(-span, 0)
+    first = both.withColumn("first", F.min(F.when(~F.col("asking"), F.col("me"))).over(frame)).where(F.col("asking") & (F.col("first") < F.col("me")))
+    return first.groupBy(F.col("me.version_id").alias("version_id")).agg(F.min_by("first.version_id", F.struct(-F.col("score"), "first")).alias("parent"))
+
+
 def assign_clusters(rows: DataFrame, method: str = "lexical", threshold: float = 0.75, window_hours: int = 24) -> DataFrame:
     """rows: version_id (unique), article_id, title, available_at, observed_at. Returns version_id, parent, cluster_id.
 
@@ -60,19 +85,17 @@ def assign_clusters(rows: DataFrame, method: str = "lexical", threshold: float =
     if method == "article":
         parents = kin
     else:
-        info = materialize(r.select("version_id", "t", "o", shingles(F.col("title")).alias("e"), F.array_join(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""), " ").alias("norm"), profile(tokens(F.col("title"))).alias("p"), (F.col("first") == F.col("version_id")).alias("asks")), "cluster-info")
-        if method == "exact":
-            one = info.select(F.col("version_id").alias("a"), "norm")
-            pairs = one.join(one.withColumnRenamed("a", "b"), "norm").where("a < b").select("a", "b", F.lit(1.0).alias("score"))
-        else:
-            pairs = similar_rows(info, "version_id", "e", threshold)
-        side = lambda c: info.select(F.col("version_id").alias(c), F.col("t").alias("t" + c), F.col("o").alias("o" + c), F.col("p").alias("p" + c), F.col("asks").alias("k" + c))
-        j = pairs.join(side("a"), "a").join(side("b"), "b").where(~conflict(F.col("pa"), F.col("pb")))
-        order = lambda c: F.struct("t" + c, "o" + c, c)
-        late = F.when(order("a") < order("b"), F.struct(F.col("b").alias("version_id"), F.col("kb").alias("asks"), F.col("a").alias("parent"), F.col("ta").alias("pt"), F.col("oa").alias("po"))).otherwise(
-            F.struct(F.col("a").alias("version_id"), F.col("ka").alias("asks"), F.col("b").alias("parent"), F.col("tb").alias("pt"), F.col("ob").alias("po")))
-        near = F.abs(F.col("ta") - F.col("tb")) <= window_hours * 3_600_000_000
-        best = j.where(near).select(late.alias("l"), "score").where("l.asks").groupBy("l.version_id").agg(F.min_by("l.parent", F.struct(-F.col("score"), F.col("l.pt"), F.col("l.po"), F.col("l.parent"))).alias("parent"))
+        info = r.select("version_id", "t", "o", shingles(F.col("title")).alias("e"), F.array_join(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""), " ").alias("norm"), profile(tokens(F.col("title"))).alias("p"), (F.col("first") == F.col("version_id")).alias("asks")).where("norm is not null")
+        info = materialize(info.withColumn("c", F.sha2(F.to_json(F.struct("norm" if method == "exact" else "e", "p")), 256)), "cluster-info")
+        classes = materialize(info.groupBy("c").agg(F.first("e").alias("e"), F.first("p").alias("p")), "cluster-classes")
+        alike = classes.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("score"))
+        if method == "lexical":
+            alike = alike.join(classes.where(F.size("e") > 0).select(F.col("c").alias("a")), "a", "left_semi")
+            pairs = materialize(similar_rows(classes, "c", "e", threshold), "cluster-pairs")
+            alike = alike.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+        side = lambda c: classes.select(F.col("c").alias(c), F.col("p").alias("p" + c))
+        alike = materialize(alike.join(side("a"), "a").join(side("b"), "b").where(~conflict(F.col("pa"), F.col("pb"))).select("a", "b", "score"), "cluster-alike")
+        best = earliest_of_class(info, alike, window_hours)
         parents = kin.unionByName(best)
     all_ = materialize(r.select("version_id").join(parents, "version_id", "left"), "parents")
     roots = jump(all_)

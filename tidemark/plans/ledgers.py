@@ -29,41 +29,6 @@ def jn2_bronze_observation(s, d):
     return bronze(s, d).where("kafka_topic = 'observations'").join(o, F.col("id") == F.col("event_id"), "left").select("kafka_topic", "kafka_partition", "kafka_offset", "id")
 
 
-_HINTS = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9$%]+'), lambda w: w NOT IN ('a', 'an', 'and', 'as', 'at', 'by', 'for', 'from', 'in', 'is', 'it', 'its', 'of', 'on', 'or', 's', 'the', 'to', 'with'))))"
-
-
-@query(f"""WITH w AS (SELECT id, {_HINTS} AS e FROM (SELECT id, any_value(title) AS title FROM source_observations WHERE title IS NOT NULL GROUP BY 1))
- SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.e, b.e)) / (len(a.e) + len(b.e) - len(list_intersect(a.e, b.e)))::DOUBLE, 6) AS score FROM w a JOIN w b ON a.id < b.id
- WHERE len(list_intersect(a.e, b.e)) >= 0.8 * (len(a.e) + len(b.e) - len(list_intersect(a.e, b.e))) AND len(a.e) > 0""")
-def jn11_hint_pairs(s, d):
-    w = observations(s, d).where("title is not null").groupBy("id").agg(F.first("title").alias("title")).select("id", X.hint_words(F.col("title")).alias("e"))
-    return clusters.similar_rows(w, "id", "e", 0.8).select("a", "b", F.round("score", 6).alias("score"))
-
-
-@query("""WITH n AS (SELECT id, epoch_us(ingested_time) AS t, array_to_string(list_filter(string_split_regex(lower(title), '\\s+'), lambda w: w <> ''), ' ') AS k FROM silver_financial_news WHERE title IS NOT NULL)
- SELECT b.id, max(a.t) AS previous_us, count(*) AS earlier FROM n a JOIN n b ON a.k = b.k AND a.t < b.t AND a.t >= b.t - 86400000000 GROUP BY 1""")
-def jn12_same_title_within_day(s, d):
-    """Rows that repeat an earlier title of the last 24 hours (inclusive), by a range frame: no pairs are built."""
-    n = news(s, d).where("title is not null").select("id", us("ingested_time").alias("t"), F.array_join(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""), " ").alias("k"))
-    w = Window.partitionBy("k").orderBy("t").rangeBetween(-86_400_000_000, -1)
-    return n.select("id", F.max("t").over(w).alias("previous_us"), F.count("t").over(w).alias("earlier")).where("earlier > 0")
-
-
-def _minhash(e):
-    return F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.array_min(F.transform(e, lambda x: F.xxhash64(x, i))))
-
-
-@query()
-def jn13_lsh_pairs(s, d):
-    """Title pairs that share at least one of 32 bands of four minimum hashes, with their exact Jaccard of 0.75 or more."""
-    base = materialize(news(s, d).where("title is not null").select("id", X.shingles(F.col("title")).alias("e")), "shingles").where(F.size("e") > 0)
-    m = materialize(base.select("id", _minhash(F.col("e")).alias("m")), "minhash")  # once, not once per band
-    bands = m.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.xxhash64(b, F.slice("m", b * 4 + 1, F.lit(4))))).alias("band"))
-    met = bands.alias("x").join(bands.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    j = met.join(base.select(F.col("id").alias("a"), F.col("e").alias("ea")), "a").join(base.select(F.col("id").alias("b"), F.col("e").alias("eb")), "b")
-    return j.withColumn("score", F.round(X.jaccard(F.col("ea"), F.col("eb")), 6)).where("score >= 0.75").select("a", "b", "score")
-
-
 @query("SELECT kind, count(*) AS n, sum(k)::BIGINT AS members FROM (SELECT CASE WHEN count(*) = 1 THEN 'alone' ELSE 'story' END AS kind, count(*) AS k FROM (SELECT DISTINCT id, article_id FROM source_observations) GROUP BY article_id) GROUP BY 1")
 def agg17_story_counts(s, d):
     k = observations(s, d).select("id", "article_id").distinct().groupBy("article_id").agg(ALL().alias("k"))
@@ -146,32 +111,6 @@ def val3_topic_source(s, d):
     return bronze(s, d).groupBy("kafka_topic", expected.eqNullSafe(said).alias("agrees")).agg(ALL().alias("n"))
 
 
-@query("SELECT DISTINCT content_hash, seq_no, decision_id, CASE WHEN decision_id IS NULL OR content_hash IS NULL THEN 'no identity' WHEN release_kind IS NULL THEN 'no kind' WHEN sentiment IS NULL THEN 'no sentiment' ELSE 'consistent' END AS verdict FROM annotation_releases")
-def val5_annotation_rules(s, d):
-    verdict = F.when(F.col("decision_id").isNull() | F.col("content_hash").isNull(), "no identity").when(F.col("release_kind").isNull(), "no kind").when(F.col("sentiment").isNull(), "no sentiment").otherwise("consistent")
-    return labels(s, d).select("content_hash", "seq_no", "decision_id", verdict.alias("verdict")).distinct()
-
-
-@query("SELECT content_hash, seq_no, seq_no > coalesce(lag(seq_no) OVER w, -1) AND label_available_at >= coalesce(lag(label_available_at) OVER w, label_available_at) AS advances FROM (SELECT DISTINCT content_hash, seq_no, label_available_at FROM annotation_releases WHERE label_available_at IS NOT NULL) WINDOW w AS (PARTITION BY content_hash ORDER BY seq_no, label_available_at)")
-def val7_revision_chain(s, d):
-    r = labels(s, d).where("label_available_at is not null").select("content_hash", "seq_no", "label_available_at").distinct()
-    w = Window.partitionBy("content_hash").orderBy("seq_no", "label_available_at")
-    ok = (F.col("seq_no") > F.coalesce(F.lag("seq_no").over(w), F.lit(-1))) & (F.col("label_available_at") >= F.coalesce(F.lag("label_available_at").over(w), F.col("label_available_at")))
-    return r.select("content_hash", "seq_no", ok.alias("advances"))
-
-
-@query("SELECT content_hash, count(DISTINCT model_revision) AS revisions, CASE WHEN count(DISTINCT predicted_label) > 1 THEN 'mismatch' WHEN count(*) > 1 THEN 'identical' ELSE 'inserted' END AS verdict FROM prediction_releases GROUP BY 1")
-def val8_prediction_compare(s, d):
-    kinds = F.countDistinct("predicted_label")
-    return predictions(s, d).groupBy("content_hash").agg(F.countDistinct("model_revision").alias("revisions"), F.when(kinds > 1, "mismatch").when(ALL() > 1, "identical").otherwise("inserted").alias("verdict"))
-
-
-@query("SELECT count(*) >= 100 AS enough_rows, count(*) FILTER (title IS NULL) = 0 AS titles_complete, count(DISTINCT source) >= 2 AS sources_present, epoch_us(max(ingested_time)) - epoch_us(min(ingested_time)) >= 86400000000 AS spans_a_day FROM silver_financial_news")
-def val9_readiness(s, d):
-    span = us(F.max("ingested_time")) - us(F.min("ingested_time"))
-    return news(s, d).agg((ALL() >= 100).alias("enough_rows"), (N(F.col("title").isNull()) == 0).alias("titles_complete"), (F.countDistinct("source") >= 2).alias("sources_present"), (span >= 86_400_000_000).alias("spans_a_day"))
-
-
 @query("SELECT DISTINCT a.content_hash, a.decision_id, CASE WHEN o.id IS NULL THEN 'unknown content' WHEN a.label_available_at < o.available_at THEN 'before data' ELSE 'valid' END AS verdict FROM annotation_releases a LEFT JOIN (SELECT id, min(available_at) AS available_at FROM source_observations GROUP BY 1) o ON o.id = a.content_hash")
 def pln3_label_validation(s, d):
     o = observations(s, d).groupBy(F.col("id").alias("content_hash")).agg(F.min("available_at").alias("available_at"), F.lit(True).alias("known"))

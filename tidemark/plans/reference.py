@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import clusters, pit
+from tidemark.operators.ranks import exact_quantiles
 from tidemark.sources.tables import table
 
 CUT = "2026-01-15T00:00:00+00:00"
@@ -63,10 +64,11 @@ def flt4_canonical(s, d):
     return news(s, d).where("is_near_duplicate = false").select("id", "source", "title", "url", "schema_version")
 
 
-@query("SELECT id, coalesce(trim(title), '') <> '' AND coalesce(json_extract_string(metadata, '$.title_provenance') IN ('source_feed', 'source_api'), FALSE) AS eligible FROM silver_financial_news")
+@query("SELECT id, NOT coalesce(is_near_duplicate, FALSE) AND coalesce(trim(title), '') <> '' AND coalesce(json_extract_string(metadata, '$.nlp_eligible'), 'true') <> 'false' AND (source = 'RSS' OR (source = 'GDELT' AND coalesce(json_extract_string(metadata, '$.title_provenance'), '') = 'source_api')) AS eligible FROM silver_financial_news")
 def flt6_headline_eligible(s, d):
-    ok = (F.coalesce(F.trim("title"), F.lit("")) != "") & F.coalesce(F.get_json_object("metadata", "$.title_provenance").isin("source_feed", "source_api"), F.lit(False))
-    return news(s, d).select("id", ok.alias("eligible"))
+    said = lambda n, default: F.coalesce(F.get_json_object("metadata", f"$.{n}"), F.lit(default))
+    ok = ~F.coalesce("is_near_duplicate", F.lit(False)) & (F.coalesce(F.trim("title"), F.lit("")) != "") & (said("nlp_eligible", "true") != "false")
+    return news(s, d).select("id", (ok & ((F.col("source") == "RSS") | ((F.col("source") == "GDELT") & (said("title_provenance", "") == "source_api")))).alias("eligible"))
 
 
 @query("SELECT id, trim(coalesce(title, '')) <> '' AND ((source = 'RSS' AND title_provenance = 'source_feed') OR (source = 'GDELT' AND title_provenance = 'source_api')) AS ok, nlp_eligible FROM source_observations")
@@ -147,32 +149,6 @@ def jn9_semi(s, d):
     return news(s, d).select("id").join(observations(s, d).select(F.col("article_id").alias("id")), "id", "left_semi")
 
 
-_WORDS = "list_distinct(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}_]+'), lambda w: w <> ''))"
-_PAIRS = f"""WITH w AS (SELECT id, source, ingested_time, {_WORDS} AS e FROM silver_financial_news WHERE title IS NOT NULL)
- SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.e, b.e)) / (len(a.e) + len(b.e) - len(list_intersect(a.e, b.e)))::DOUBLE, 6) AS score
- FROM w a JOIN w b ON {{on}} WHERE len(list_intersect(a.e, b.e)) >= 0.8 * (len(a.e) + len(b.e) - len(list_intersect(a.e, b.e)))"""
-
-
-def _words(s, d):
-    return news(s, d).select("id", "source", F.array_distinct(X.tokens(F.col("title"))).alias("e"))
-
-
-@query(_PAIRS.replace("{on}", "a.id < b.id"))
-def mth4_jaccard_pairs(s, d):
-    p = clusters.similar_rows(_words(s, d), "id", "e", 0.8)
-    return p.select("a", "b", F.round("score", 6).alias("score"))
-
-
-@query(_PAIRS.replace("{on}", "a.source = 'GDELT' AND b.source = 'RSS'"))
-def jn10_rank_pairs(s, d):
-    w = _words(s, d)
-    src = w.select("id", "source")
-    p = clusters.similar_rows(w, "id", "e", 0.8)
-    p = p.join(src.select(F.col("id").alias("a"), F.col("source").alias("sa")), "a").join(src.select(F.col("id").alias("b"), F.col("source").alias("sb")), "b").where("sa <> sb")
-    g = F.col("sa") == "GDELT"
-    return p.select(F.when(g, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(g, F.col("b")).otherwise(F.col("a")).alias("b"), F.round("score", 6).alias("score"))
-
-
 @query(f"SELECT content_hash, arg_max_null(sentiment, (label_available_at, seq_no, decision_id)) AS sentiment FROM annotation_releases WHERE label_available_at < {CUT_SQL} GROUP BY 1")
 def jn16_asof_decision(s, d):
     return labels(s, d).where(pit.released(F.col("label_available_at"), CUT)).groupBy("content_hash").agg(F.max_by("sentiment", F.struct("label_available_at", "seq_no", "decision_id")).alias("sentiment"))
@@ -228,22 +204,19 @@ def agg8_outcomes(s, d):
 @query("SELECT source, round(min(l), 6) AS least, round(median(l), 6) AS middle, round(max(l), 6) AS most, count(*) FILTER (l < 0) AS negative FROM (SELECT source, (epoch_us(ingested_time) - epoch_us(event_time)) / 1000000.0 AS l FROM silver_financial_news WHERE event_time IS NOT NULL) GROUP BY 1")
 def agg9_lags(s, d):
     l = news(s, d).where("event_time is not null").select("source", ((us("ingested_time") - us("event_time")) / F.lit(1000000.0)).alias("l"))
-    return l.groupBy("source").agg(F.round(F.min("l"), 6).alias("least"), F.round(F.median("l"), 6).alias("middle"), F.round(F.max("l"), 6).alias("most"), N(F.col("l") < 0).alias("negative"))
+    ends = l.groupBy("source").agg(F.round(F.min("l"), 6).alias("least"), F.round(F.max("l"), 6).alias("most"), N(F.col("l") < 0).alias("negative"))
+    return ends.join(exact_quantiles(l, ["source"], "l", {"m": ("linear", 0.5)}), "source").select("source", "least", F.round("m", 6).alias("middle"), "most", "negative")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def agg10_percentiles(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    q = exact_quantiles(table(s, d, "events"), ["event_type"], "value", {"p50": ("linear", 0.5), "p95": ("linear", 0.95)})
+    return q.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("SELECT event_type, max(value) FILTER (r = floor(n * 0.95)) AS p95, max(value) FILTER (r = n // 2) AS upper_median FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1")
 def agg11_nearest_rank(s, d):
-    # value counts first: the window runs over distinct values, not over rows
-    c = table(s, d, "events").where("value is not null").groupBy("event_type", "value").agg(ALL().alias("c"))
-    w = Window.partitionBy("event_type")
-    c = c.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("value")))
-    return c.groupBy("event_type").agg(at(F.floor(F.col("n") * 0.95)).alias("p95"), at(F.floor(F.col("n") / 2)).alias("upper_median"))
+    return exact_quantiles(table(s, d, "events"), ["event_type"], "value", {"p95": ("rank", 0.95), "upper_median": ("rank", 0.5)}).drop("n")
 
 
 @query("SELECT f AS field, round(100.0 * avg(p), 1)::DOUBLE AS present FROM (UNPIVOT (SELECT (title IS NOT NULL)::INT AS title, (url IS NOT NULL)::INT AS url, (content_snippet IS NOT NULL AND content_snippet <> '')::INT AS content_snippet, (event_time IS NOT NULL)::INT AS event_time FROM silver_financial_news) ON COLUMNS(*) INTO NAME f VALUE p) GROUP BY 1")
@@ -258,31 +231,6 @@ def agg13_throughput(s, d):
     return bronze(s, d).groupBy("kafka_topic").agg(F.round(F.try_divide(ALL(), (us(F.max("ingested_at")) - us(F.min("ingested_at"))) / F.lit(60000000.0)), 6).alias("per_minute"))
 
 
-_SWEEP = "SELECT t.t / 100.0::DOUBLE AS threshold, count(*) FILTER (semantic_score >= t.t / 100.0 AND y) AS tp, count(*) FILTER (semantic_score >= t.t / 100.0 AND NOT y) AS fp, count(*) FILTER (NOT (semantic_score >= t.t / 100.0) AND y) AS fn FROM (SELECT semantic_score, coalesce(is_near, FALSE) AS y FROM dedup_results WHERE semantic_score IS NOT NULL), (SELECT unnest(range(40, 96)) AS t) t GROUP BY 1"
-
-
-@query(f"SELECT round(threshold, 2) AS threshold, tp, fp, fn, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall FROM ({_SWEEP})")
-def agg14_threshold_sweep(s, d):
-    # one histogram of scores by the last threshold passed, then cumulative counts: the rows are read once, not per threshold
-    r = table(s, d, "dedup_results").where("semantic_score is not null").select(F.coalesce("is_near", F.lit(False)).alias("y"), F.size(F.filter(F.array(*[F.lit(t / 100.0) for t in range(40, 96)]), lambda t: t <= F.col("semantic_score"))).alias("k"))
-    h = r.groupBy("k").agg(N(F.col("y")).alias("p"), N(~F.col("y")).alias("q"))
-    t = s.range(40, 96).select((F.col("id") / 100.0).cast("double").alias("threshold"), (F.col("id") - 39).cast("int").alias("need"))
-    j = t.join(F.broadcast(h), F.col("k") >= 0)  # h: at most 57 rows
-    a = j.groupBy("threshold").agg(F.sum(F.when(F.col("k") >= F.col("need"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("k") >= F.col("need"), F.col("q")).otherwise(0)).alias("fp"), F.sum(F.when(F.col("k") < F.col("need"), F.col("p")).otherwise(0)).alias("fn"))
-    return a.select(F.round("threshold", 2).alias("threshold"), "tp", "fp", "fn", F.round(F.try_divide("tp", F.col("tp") + F.col("fp")), 6).alias("precision"), F.round(F.try_divide("tp", F.col("tp") + F.col("fn")), 6).alias("recall"))
-
-
-@query("SELECT coalesce(is_near, FALSE) AS near, count(*) AS n, round(min(semantic_score), 6) AS least, round(median(semantic_score), 6) AS middle, round(max(semantic_score), 6) AS most, count(*) FILTER (semantic_score >= 0.76) AS survivors FROM dedup_results GROUP BY 1")
-def agg16_bands(s, d):
-    return table(s, d, "dedup_results").groupBy(F.coalesce("is_near", F.lit(False)).alias("near")).agg(ALL().alias("n"), F.round(F.min("semantic_score"), 6).alias("least"), F.round(F.median("semantic_score"), 6).alias("middle"), F.round(F.max("semantic_score"), 6).alias("most"), N(F.col("semantic_score") >= 0.76).alias("survivors"))
-
-
-@query("SELECT kafka_topic, kafka_partition, max(kafka_offset) - min(kafka_offset) + 1 AS expected, count(DISTINCT kafka_offset) AS present, count(*) AS total, max(kafka_offset) - min(kafka_offset) + 1 - count(DISTINCT kafka_offset) AS missing FROM bronze_events_raw GROUP BY 1, 2")
-def agg19_reconcile(s, d):
-    span = F.max("kafka_offset") - F.min("kafka_offset") + 1
-    return bronze(s, d).groupBy("kafka_topic", "kafka_partition").agg(span.alias("expected"), F.countDistinct("kafka_offset").alias("present"), ALL().alias("total"), (span - F.countDistinct("kafka_offset")).alias("missing"))
-
-
 @query(f"SELECT kafka_topic, kafka_partition, greatest(0, max(kafka_offset) - coalesce(max(kafka_offset) FILTER (ingested_at <= {CUT_SQL}), -1)) AS lag FROM bronze_events_raw GROUP BY 1, 2")
 def agg20_lag(s, d):
     done = F.max(F.when(pit.visible(F.col("ingested_at"), CUT), F.col("kafka_offset")))
@@ -310,19 +258,6 @@ def agg24_source_sums(s, d):
     return news(s, d).groupBy("source").agg(ALL().alias("fetched"), N(F.col("is_near_duplicate")).alias("duplicates"), N(~F.col("is_near_duplicate")).alias("published"), F.round(F.try_divide(100.0 * N(F.col("is_near_duplicate")), ALL()), 1).alias("dedup_rate"))
 
 
-@query("SELECT round(100.0 * ((count(*) > 0)::INT + (count(*) FILTER (title IS NULL) = 0)::INT + (count(DISTINCT id) = count(*))::INT + (count(*) FILTER (ingested_time IS NULL) = 0)::INT) / 4, 1)::DOUBLE AS health FROM silver_financial_news")
-def agg25_health(s, d):
-    checks = [ALL() > 0, N(F.col("title").isNull()) == 0, F.countDistinct("id") == ALL(), N(F.col("ingested_time").isNull()) == 0]
-    return news(s, d).agg(F.round(100.0 * sum((c.cast("int") for c in checks), F.lit(0)) / 4, 1).alias("health"))
-
-
-@query("SELECT kafka_topic, round(median(l), 6) AS p50, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY kafka_topic ORDER BY kafka_offset DESC, kafka_partition, l) AS r FROM (SELECT kafka_topic, kafka_partition, kafka_offset, epoch_us(ingested_at) / 1000.0 - broker_timestamp_ms AS l FROM bronze_events_raw) WHERE l >= 0) WHERE r <= 200 GROUP BY 1")
-def agg26_latency_sample(s, d):
-    l = bronze(s, d).select("kafka_topic", "kafka_partition", "kafka_offset", (us("ingested_at") / F.lit(1000.0) - F.col("broker_timestamp_ms")).alias("l")).where("l >= 0")
-    w = Window.partitionBy("kafka_topic").orderBy(F.desc("kafka_offset"), "kafka_partition", "l")
-    return l.withColumn("r", F.row_number().over(w)).where("r <= 200").groupBy("kafka_topic").agg(F.round(F.median("l"), 6).alias("p50"), ALL().alias("n"))
-
-
 # ---- windows, top-k, sets ----------------------------------------------------------------------------------------
 
 
@@ -405,16 +340,6 @@ def txt1_tokens(s, d):
     return news(s, d).select("id", F.array_join(X.tokens(F.col("title")), "|").alias("tokens"))
 
 
-@query()
-def txt2_shingles(s, d):
-    return news(s, d).select("id", F.array_join(X.shingles(F.col("title")), "|").alias("shingles"))
-
-
-@query()
-def txt4_polarity(s, d):
-    return news(s, d).select("id", X.profile_text(X.profile(X.tokens(F.col("title")))).alias("profile"))
-
-
 @query()
 def txt7_entities(s, d):
     return news(s, d).select("id", F.array_join(X.entities(F.col("title")), ",").alias("entities"))
@@ -510,13 +435,6 @@ def jsn2_valid_payloads(s, d):
 # ---- validation, storage, clusters, streams ----------------------------------------------------------------------
 
 
-@query("SELECT kafka_topic, CASE WHEN raw_payload IS NULL THEN 'missing payload' WHEN NOT json_valid(raw_payload) THEN 'broken payload' WHEN json_extract_string(CASE WHEN json_valid(raw_payload) THEN raw_payload END, '$.id') IS NULL THEN 'no id' WHEN event_id IS NULL THEN 'no event id' ELSE 'valid' END AS outcome, count(*) AS n FROM bronze_events_raw GROUP BY 1, 2")
-def val2_payload_rules(s, d):
-    outcome = (F.when(F.col("raw_payload").isNull(), "missing payload").when(F.try_parse_json("raw_payload").isNull(), "broken payload")
-                .when(F.get_json_object("raw_payload", "$.id").isNull(), "no id").when(F.col("event_id").isNull(), "no event id").otherwise("valid"))
-    return bronze(s, d).groupBy("kafka_topic", outcome.alias("outcome")).agg(ALL().alias("n"))
-
-
 @query(f"""WITH l AS (SELECT content_hash, arg_max(struct_pack(a := english, b := financially_relevant, c := genuine_headline), (data_available_at, seq_no, decision_id)) AS v FROM eligibility_release_requirements WHERE data_available_at < {CUT_SQL} GROUP BY 1)
  SELECT CASE WHEN v IS NULL THEN 'pending' WHEN 'no' IN (v.a, v.b, v.c) THEN 'excluded' WHEN 'uncertain' IN (v.a, v.b, v.c) THEN 'uncertain' ELSE 'included' END AS status, count(*) AS n FROM (SELECT DISTINCT id FROM source_observations) o LEFT JOIN l ON l.content_hash = o.id GROUP BY 1""")
 def val6_status(s, d):
@@ -526,17 +444,6 @@ def val6_status(s, d):
     return observations(s, d).select("id").distinct().join(l, "id", "left").groupBy(status.alias("status")).agg(ALL().alias("n"))
 
 
-@query("""WITH f AS (SELECT kafka_topic, event_id, arg_min(raw_payload, (ingested_at, kafka_partition, kafka_offset)) AS p FROM bronze_events_raw WHERE event_id IS NOT NULL AND raw_payload IS NOT NULL AND json_valid(raw_payload) GROUP BY 1, 2)
- SELECT b.kafka_topic, CASE WHEN b.raw_payload = f.p THEN 'redelivery' WHEN json_extract_string(b.raw_payload, '$.title') IS DISTINCT FROM json_extract_string(f.p, '$.title') THEN 'conflict' ELSE 'enrichment' END AS change, count(*) AS n
- FROM bronze_events_raw b JOIN f USING (kafka_topic, event_id) WHERE b.raw_payload IS NOT NULL AND json_valid(b.raw_payload) GROUP BY 1, 2""")
-def cmp1_change_classes(s, d):
-    b = bronze(s, d).where(F.col("event_id").isNotNull() & F.col("raw_payload").isNotNull() & F.try_parse_json("raw_payload").isNotNull())
-    f = b.groupBy("kafka_topic", "event_id").agg(F.min_by("raw_payload", F.struct("ingested_at", "kafka_partition", "kafka_offset")).alias("p"))
-    title = lambda c: F.get_json_object(c, "$.title")
-    change = F.when(F.col("raw_payload") == F.col("p"), "redelivery").when(~title("raw_payload").eqNullSafe(title("p")), "conflict").otherwise("enrichment")
-    return b.join(f, ["kafka_topic", "event_id"]).groupBy("kafka_topic", change.alias("change")).agg(ALL().alias("n"))
-
-
 @query("SELECT kafka_topic, kafka_partition, kafka_offset, epoch_us(min(ingested_at)) AS first_us, count(*) AS occurrences FROM bronze_events_raw GROUP BY 1, 2, 3")
 def snk1_first_write(s, d):
     return bronze(s, d).groupBy("kafka_topic", "kafka_partition", "kafka_offset").agg(us(F.min("ingested_at")).alias("first_us"), ALL().alias("occurrences"))
@@ -582,16 +489,6 @@ def pln1_clusters_article(s, d):
     return clusters.assign_clusters(_versions(s, d), "article").select("version_id", "cluster_id")
 
 
-@query()
-def pln1_clusters_exact(s, d):
-    return clusters.assign_clusters(_versions(s, d), "exact").select("version_id", "cluster_id")
-
-
-@query()
-def pln1_clusters_lexical(s, d):
-    return clusters.assign_clusters(_versions(s, d), "lexical").select("version_id", "cluster_id")
-
-
 @query("""WITH b AS (SELECT * FROM (VALUES (0, TIMESTAMPTZ '2025-12-15 00:00:00+00'), (1, TIMESTAMPTZ '2026-01-15 00:00:00+00'), (2, TIMESTAMPTZ '2026-02-15 00:00:00+00')) v(w, t)),
  l AS (SELECT b.w, a.content_hash, arg_max(a.decision_id, (a.label_available_at, a.seq_no, a.decision_id)) AS decision FROM b JOIN annotation_releases a ON a.label_available_at < b.t GROUP BY 1, 2)
  SELECT w, content_hash, decision, decision IS DISTINCT FROM lag(decision) OVER (PARTITION BY content_hash ORDER BY w) AS changed FROM l""")
