@@ -13,10 +13,11 @@ from tidemark.functions import vectors as V
 from tidemark.operators.clusters import assign_clusters
 from tidemark.operators.components import components
 from tidemark.operators.pit import micros, vector_top_k
-from tidemark.plans import core_problems, duplicates, ledgers, reference
+from tidemark.plans import core_problems, duplicates, evidence, ledgers, reference, similarity
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = core_problems.QUERIES | reference.QUERIES | ledgers.QUERIES | duplicates.QUERIES, core_problems.SQL | reference.SQL | ledgers.SQL | duplicates.SQL
+MODULES = (core_problems, reference, ledgers, duplicates, similarity, evidence)
+QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, what).items()} for what in ("QUERIES", "SQL"))
 
 
 @pytest.fixture(scope="module")

@@ -1,9 +1,11 @@
+import csv
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.sources import feeds, snapshot
+from tidemark.sources import feeds, sinks, snapshot
 
 
 def test_feeds(spark, tmp_path):
@@ -46,3 +48,18 @@ def test_version_hash(spark):
     import hashlib
 
     assert got[0] == got[1] == hashlib.sha256('{"a":"é","b":1,"source_time":"2026-01-02T02:00:00+00:00"}'.encode()).hexdigest() and got[2:] == [None] * 4
+
+
+def test_label_sheet_and_backup(spark, tmp_path):
+    df = spark.createDataFrame([("1", 'a "quoted", title\nwith a break', None, "kept out"), ("2", None, "RSS", "x")], "id string, title string, source string, notes string")
+    sinks.write_label_sheet(df, str(tmp_path / "sheet"))
+    (part,) = (tmp_path / "sheet").glob("part-*.csv")
+    raw = part.read_bytes()
+    assert raw.startswith("\ufeffid,source,title".encode())
+    rows = {r["id"]: r for r in csv.DictReader(io.StringIO(raw.decode("utf-8-sig"), newline=""))}
+    assert list(rows["1"]) == sinks.SHEET and rows["1"]["title"] == 'a "quoted", title\nwith a break' and rows["1"]["notes"] == "" and rows["2"]["source"] == "RSS"
+    df.write.parquet(str(tmp_path / "t"))
+    sinks.back_up(str(tmp_path / "t"), str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.back_up(str(tmp_path / "t"), str(tmp_path / "copy"))

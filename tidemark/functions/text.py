@@ -42,6 +42,7 @@ ALIASES = {
 # Capitals that are no ticker; words that carry no hint.
 NO_TICKER = ("THE AND FOR NEW GDP FED CPI USA USD EUR RATE BANK NEWS BILL POST TECH AI ECB OPEC IMF FOMC BOE BOJ CEO CFO COO CTO IPO ETF APY CD SPAC PDF "
              "SPX LBO CDO ABS ARM UK EU NYSE NASDAQ SEC FTC DOJ FBI CIA DOW US PMI FDA").split()
+LEGACY_NO_TICKER = "THE AND FOR NEW GDP FED CPI USA USD EUR RATE BANK NEWS BILL POST TECH AI".split()
 HINT_STOP = "a an and as at by for from in is it its of on or s the to with".split()
 
 
@@ -173,3 +174,27 @@ def quality_flag(title: Column, source: Column, snippet: Column, provenance: Col
 
 def hint_words(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(title), F.lit(r"([a-z0-9$%]+)"), 1), lambda w: ~F.array_contains(_set(HINT_STOP), w))))
+
+
+def tickers(text: Column) -> Column:
+    """First ten of the sorted probable tickers: $X to $XXXXX and capitals of two to five letters outside the short stop list."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(r"\$([A-Z]{1,5})\b"), 1), F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,5})\b"), 1))
+    return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda t: ~F.array_contains(_set(LEGACY_NO_TICKER), t)))), 1, 10)
+
+
+def story_id(members: Column) -> Column:
+    """Identity of a story from its sorted members."""
+    return F.concat(F.lit("story-"), F.substring(F.sha2(F.array_join(members, "\n"), 256), 1, 16))
+
+
+def parse_answer(line: Column) -> Column:
+    """Struct kind (multi, uncertain, alone; null on an error or an empty line), numbers, reason, error of one line of the answer grammar
+    `story: 1 7 | reason`, `uncertain: 3 9 | reason`, `alone: 2 4`; what follows # is a remark."""
+    form = r"^(story|uncertain|alone):([\s\d]+)(?:\|(.*))?$"
+    text = F.trim(F.regexp_replace(line, r"#.*$", ""))
+    word, reason = F.regexp_extract(text, form, 1), F.trim(F.regexp_extract(text, form, 3))
+    numbers = F.filter(F.split(F.trim(F.regexp_extract(text, form, 2)), r"\s+"), lambda n: n != "")
+    error = (F.when(text == "", None).when(word == "", "not story:, uncertain: or alone:").when((word != "alone") & (reason == ""), "a reason is needed")
+              .when((word == "story") & (F.size(numbers) < 2), "a story needs at least two").when(F.size(F.array_distinct(numbers)) < F.size(numbers), "a number is repeated"))
+    kind = F.when(error.isNull(), F.when(word == "story", "multi").otherwise(F.nullif(word, F.lit(""))))
+    return F.struct(kind.alias("kind"), numbers.alias("numbers"), F.nullif(reason, F.lit("")).alias("reason"), error.alias("error"))

@@ -253,11 +253,6 @@ def agg22_cube(s, d):
     return table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.grouping_id().alias("g"), ALL().alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity")).where("n > 10")
 
 
-@query("SELECT source, count(*) AS fetched, count(*) FILTER (is_near_duplicate) AS duplicates, count(*) FILTER (NOT is_near_duplicate) AS published, round(100.0 * count(*) FILTER (is_near_duplicate) / count(*), 1)::DOUBLE AS dedup_rate FROM silver_financial_news GROUP BY 1")
-def agg24_source_sums(s, d):
-    return news(s, d).groupBy("source").agg(ALL().alias("fetched"), N(F.col("is_near_duplicate")).alias("duplicates"), N(~F.col("is_near_duplicate")).alias("published"), F.round(F.try_divide(100.0 * N(F.col("is_near_duplicate")), ALL()), 1).alias("dedup_rate"))
-
-
 # ---- windows, top-k, sets ----------------------------------------------------------------------------------------
 
 
@@ -487,17 +482,3 @@ _ARTICLE = "SELECT id AS version_id, first_value(id) OVER (PARTITION BY article_
 @query(_ARTICLE)
 def pln1_clusters_article(s, d):
     return clusters.assign_clusters(_versions(s, d), "article").select("version_id", "cluster_id")
-
-
-@query("""WITH b AS (SELECT * FROM (VALUES (0, TIMESTAMPTZ '2025-12-15 00:00:00+00'), (1, TIMESTAMPTZ '2026-01-15 00:00:00+00'), (2, TIMESTAMPTZ '2026-02-15 00:00:00+00')) v(w, t)),
- l AS (SELECT b.w, a.content_hash, arg_max(a.decision_id, (a.label_available_at, a.seq_no, a.decision_id)) AS decision FROM b JOIN annotation_releases a ON a.label_available_at < b.t GROUP BY 1, 2)
- SELECT w, content_hash, decision, decision IS DISTINCT FROM lag(decision) OVER (PARTITION BY content_hash ORDER BY w) AS changed FROM l""")
-def pln2_window_labels(s, d):
-    """Latest eligible label per window and content, and whether it changed (what a sequential fit would take)."""
-    bounds = ["2025-12-15T00:00:00+00:00", "2026-01-15T00:00:00+00:00", "2026-02-15T00:00:00+00:00"]
-    a = labels(s, d).where("label_available_at is not null")
-    first = sum([(us("label_available_at") >= pit.micros(b)).cast("int") for b in bounds], F.lit(0))
-    a = a.withColumn("f", first).where("f < 3").withColumn("w", F.explode(F.sequence("f", F.lit(2))))
-    l = a.groupBy("w", "content_hash").agg(F.max_by("decision_id", F.struct("label_available_at", "seq_no", "decision_id")).alias("decision"))
-    before = F.lag("decision").over(Window.partitionBy("content_hash").orderBy("w"))
-    return l.select("w", "content_hash", "decision", (~F.col("decision").eqNullSafe(before)).alias("changed"))

@@ -4,3 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def exists(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path))
