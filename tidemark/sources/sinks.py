@@ -30,4 +30,5 @@ def back_up(path: str, target: str) -> None:
     (fs, source), (to_fs, to) = open_fs(path), open_fs(target)
     if to_fs.get_file_info(to).type != pafs.FileType.NotFound:
         raise ValueError("a backup is never overwritten")
+    to_fs.create_dir(to, recursive=True)
     pafs.copy_files(source, to, source_filesystem=fs, destination_filesystem=to_fs)
