@@ -6,19 +6,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Polarity lexicon, negators, irregular past forms, antonyms.
-POSITIVE = "beat surge soar spike jump rally rebound climb gain rise raise hike boost upgrade exceed outperform bullish record strong top".split()
-NEGATIVE = "miss plunge plummet crash sink fall drop decline tumble slump slide loss cut lower downgrade underperform bearish warn weak slash".split()
-NEGATORS = "not no never without except excluding fail fails failing didn wasn isn aren weren don doesn couldn wouldn shouldn won".split()
+POSITIVE = [
+    "beat", "surge", "soar", "spike", "jump", "rally", "rebound", "climb", "gain", "rise", "raise", "hike", "boost", "upgrade", "exceed",
+    "outperform", "bullish", "record", "strong", "top",
+]
+NEGATIVE = [
+    "miss", "plunge", "plummet", "crash", "sink", "fall", "drop", "decline", "tumble", "slump", "slide", "loss", "cut", "lower", "downgrade",
+    "underperform", "bearish", "warn", "weak", "slash",
+]
+NEGATORS = [
+    "not", "no", "never", "without", "except", "excluding", "fail", "fails", "failing", "didn", "wasn", "isn", "aren", "weren", "don", "doesn",
+    "couldn", "wouldn", "shouldn", "won",
+]
 NEGATION_WINDOW = 3
 IRREGULAR = {"rose": "rise", "fell": "fall", "sank": "sink", "slid": "slide"}
 ANTONYMS = {
-    "beat": "miss underperform", "top": "miss underperform", "exceed": "miss underperform", "outperform": "miss underperform",
-    "hike": "cut slash lower", "raise": "cut slash lower", "boost": "cut slash lower",
-    "surge": "plunge plummet crash slump sink slide fall drop decline", "soar": "plunge plummet crash slump sink slide fall",
-    "spike": "plunge plummet crash slump sink slide fall", "jump": "plunge plummet sink slump tumble slide fall drop decline",
-    "rally": "plunge plummet crash sink slump slide tumble fall drop decline", "rebound": "plunge plummet crash slump slide tumble fall drop decline",
-    "climb": "tumble plunge plummet crash slump sink fall slide drop decline", "rise": "fall drop decline sink slump plunge plummet tumble slide crash",
-    "gain": "loss drop fall decline slide tumble", "upgrade": "downgrade", "bullish": "bearish", "strong": "weak",
+    "beat": ["miss", "underperform"],
+    "top": ["miss", "underperform"],
+    "exceed": ["miss", "underperform"],
+    "outperform": ["miss", "underperform"],
+    "hike": ["cut", "slash", "lower"],
+    "raise": ["cut", "slash", "lower"],
+    "boost": ["cut", "slash", "lower"],
+    "surge": ["plunge", "plummet", "crash", "slump", "sink", "slide", "fall", "drop", "decline"],
+    "soar": ["plunge", "plummet", "crash", "slump", "sink", "slide", "fall"],
+    "spike": ["plunge", "plummet", "crash", "slump", "sink", "slide", "fall"],
+    "jump": ["plunge", "plummet", "sink", "slump", "tumble", "slide", "fall", "drop", "decline"],
+    "rally": ["plunge", "plummet", "crash", "sink", "slump", "slide", "tumble", "fall", "drop", "decline"],
+    "rebound": ["plunge", "plummet", "crash", "slump", "slide", "tumble", "fall", "drop", "decline"],
+    "climb": ["tumble", "plunge", "plummet", "crash", "slump", "sink", "fall", "slide", "drop", "decline"],
+    "rise": ["fall", "drop", "decline", "sink", "slump", "plunge", "plummet", "tumble", "slide", "crash"],
+    "gain": ["loss", "drop", "fall", "decline", "slide", "tumble"],
+    "upgrade": ["downgrade"],
+    "bullish": ["bearish"],
+    "strong": ["weak"],
 }
 # Names and the entity codes they stand for.
 ALIASES = {
@@ -40,10 +61,17 @@ ALIASES = {
     "organization of the petroleum exporting countries": "OPEC", "u.s. treasury": "UST", "us treasury": "UST", "treasury department": "UST",
 }
 # Capitals that are no ticker; words that carry no hint.
-NO_TICKER = ("THE AND FOR NEW GDP FED CPI USA USD EUR RATE BANK NEWS BILL POST TECH AI ECB OPEC IMF FOMC BOE BOJ CEO CFO COO CTO IPO ETF APY CD SPAC PDF "
-             "SPX LBO CDO ABS ARM UK EU NYSE NASDAQ SEC FTC DOJ FBI CIA DOW US PMI FDA").split()
-LEGACY_NO_TICKER = "THE AND FOR NEW GDP FED CPI USA USD EUR RATE BANK NEWS BILL POST TECH AI".split()
-HINT_STOP = "a an and as at by for from in is it its of on or s the to with".split()
+NO_TICKER = [
+    "THE", "AND", "FOR", "NEW", "GDP", "FED", "CPI", "USA", "USD", "EUR", "RATE", "BANK", "NEWS", "BILL", "POST", "TECH", "AI", "ECB", "OPEC", "IMF",
+    "FOMC", "BOE", "BOJ", "CEO", "CFO", "COO", "CTO", "IPO", "ETF", "APY", "CD", "SPAC", "PDF", "SPX", "LBO", "CDO", "ABS", "ARM", "UK", "EU", "NYSE",
+    "NASDAQ", "SEC", "FTC", "DOJ", "FBI", "CIA", "DOW", "US", "PMI", "FDA",
+]
+LEGACY_NO_TICKER = [
+    "THE", "AND", "FOR", "NEW", "GDP", "FED", "CPI", "USA", "USD", "EUR", "RATE", "BANK", "NEWS", "BILL", "POST", "TECH", "AI",
+]
+HINT_STOP = [
+    "a", "an", "and", "as", "at", "by", "for", "from", "in", "is", "it", "its", "of", "on", "or", "s", "the", "to", "with",
+]
 
 
 @lru_cache(maxsize=1)
@@ -103,7 +131,7 @@ def antonyms() -> dict[str, list[str]]:
     """Symmetric closure of the antonym pairs."""
     both: dict[str, set] = {}
     for a, others in ANTONYMS.items():
-        for b in others.split():
+        for b in others:
             both.setdefault(a, set()).add(b)
             both.setdefault(b, set()).add(a)
     return {k: sorted(v) for k, v in both.items()}

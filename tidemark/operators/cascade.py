@@ -1,7 +1,7 @@
 """Semantic neighbours in a sliding window, and the cascade of exact, lexical and semantic duplicate tiers.
 
 The window of a row holds the rows of the last two hours, at most the newest 1,000 (the rank cap of the search).
-Rows are ranked by arrival in day buckets; a rank block of 1,000 meets itself and the block before it, so no
+Rows are ranked by arrival in hour buckets; a rank block of 1,000 meets itself and the block before it, so no
 group is larger than 2,000 rows however many arrive at once, and one matrix product serves a block.
 
 Defined results: rows without usable vector have no semantic neighbours; filings and empty titles skip the lexical and
@@ -18,15 +18,15 @@ from tidemark.operators.clusters import assign_clusters, jump
 from tidemark.shared import materialize
 
 CAP = 1000
-DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 
 
 def arrival_rank(df: DataFrame, at: str = "t", ident: str = "id") -> DataFrame:
-    """Adds rank (from 0) in the order of (at, id): ranks within days, offset by the days before (one row per day)."""
-    d = df.withColumn("_day", F.floor(F.col(at) / DAY_US))
-    days = d.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = days.select("_day", F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return d.withColumn("_r", F.row_number().over(Window.partitionBy("_day").orderBy(at, ident))).join(before, "_day").withColumn("rank", F.col("_r") - 1 + F.col("_before")).drop("_day", "_r", "_before")
+    """Adds rank (from 0) in the order of (at, id): ranks within hours, offset by the hours before (one row per hour)."""
+    d = df.withColumn("_hour", F.floor(F.col(at) / HOUR_US))
+    hours = d.groupBy("_hour").agg(F.count(F.lit(1)).alias("_n"))
+    before = hours.select("_hour", F.coalesce(F.sum("_n").over(Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return d.withColumn("_r", F.row_number().over(Window.partitionBy("_hour").orderBy(at, ident))).join(before, "_hour").withColumn("rank", F.col("_r") - 1 + F.col("_before")).drop("_hour", "_r", "_before")
 
 
 def window_neighbours(rows: DataFrame, threshold: float = 0.76, window_s: int = 7200, cap: int = CAP) -> DataFrame:

@@ -375,14 +375,6 @@ def mth1_identity(s, d):
     return news(s, d).select("id", F.sha2(F.coalesce(F.nullif("url", F.lit("")), "title"), 256).alias("identity"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) >= 0.2")
-def mth5_cosine_pairs(s, d):
-    e = table(s, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label")
-    j = q.join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), "label"), "label").where("a <> b").withColumn("c", V.cosine(F.col("ea"), F.col("eb")))
-    return j.where("c >= 0.2").select("a", "b", F.round("c", 6).alias("score"))
-
-
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) >= 0.2")
 def mth5_cosine_all(s, d):
     """Each query vector against all rows, whatever their label: blocks of vectors, one matrix product for each two."""
@@ -456,11 +448,14 @@ _TTL = """WITH RECURSIVE t AS (SELECT kafka_topic, event_id, epoch_us(ingested_a
 
 @query(_TTL)
 def str1_exact_ttl(s, d):
-    """Duplicates within an hour of the last accepted delivery are suppressed and do not extend it. Times are folded
-    to distinct counts per key before the per-key fold, so repeated instants cost one entry."""
+    """Duplicates within an hour of the last accepted delivery are suppressed and do not extend it. Instants are folded to distinct
+    ones per key. A delivery an hour or more after the one before it is accepted whatever came earlier, so keys are cut there and
+    only stretches of dense deliveries are folded in order."""
     hour = 3_600_000_000
     t = bronze(s, d).where("event_id is not null").groupBy("kafka_topic", "event_id", us("ingested_at").alias("t")).agg(ALL().alias("c"))
-    runs = t.groupBy("kafka_topic", "event_id").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list("t")).alias("ts"))
+    w = Window.partitionBy("kafka_topic", "event_id").orderBy("t")
+    t = t.withColumn("fresh", F.coalesce(F.col("t") - F.lag("t").over(w) >= hour, F.lit(True)).cast("int")).withColumn("stretch", F.sum("fresh").over(w))
+    runs = t.groupBy("kafka_topic", "event_id", "stretch").agg(F.sum("c").alias("n"), F.array_sort(F.collect_list("t")).alias("ts"))
     fold = F.aggregate("ts", F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("k")), lambda a, x: F.when(a["last"].isNull() | (x - a["last"] >= hour), F.struct(x.alias("last"), (a["k"] + 1).alias("k"))).otherwise(a))
     r = runs.select("kafka_topic", "n", fold["k"].alias("k"))
     return r.groupBy("kafka_topic").agg(F.sum("k").alias("accepted"), F.sum(F.col("n") - F.col("k")).alias("suppressed"))

@@ -9,7 +9,7 @@ from tidemark.functions.text import strip_tags
 
 # The economic themes that a knowledge-graph row must name one of.
 THEMES = ["ECON_", "INFLATION", "CENTRAL_BANK", "EPU_ECONOMY", "WB_1104_MACROECONOMIC", "UNEMPLOYMENT"]
-RSS = "title string, link string, description string, pubDate string"
+RSS = "title string, link string, description string, pubDate string, updated string, created string"
 ATOM = "title string, summary string, updated string, link struct<_href: string>"
 ARTICLES = "struct<articles: array<struct<url: string, title: string, seendate: string, domain: string, language: string>>>"
 
@@ -17,7 +17,8 @@ ARTICLES = "struct<articles: array<struct<url: string, title: string, seendate:
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(RSS).option("rowTag", "item").format("xml").load(path)
     link, title = F.trim(F.coalesce("link", F.lit(""))), F.trim(F.coalesce("title", F.lit("")))
-    item = raw.select(F.sha2(F.when(link != "", link).otherwise(title), 256).alias("id"), title.alias("title"), link.alias("url"), strip_tags(F.coalesce("description", F.lit(""))).alias("content_snippet"), F.col("pubDate").alias("published_time"))
+    item = raw.select(F.sha2(F.when(link != "", link).otherwise(title), 256).alias("id"), title.alias("title"), link.alias("url"), strip_tags(F.coalesce("description", F.lit(""))).alias("content_snippet"), F.coalesce("pubDate", "updated", "created").alias("published_time"),
+                      F.when(F.col("pubDate").isNotNull(), "feed:published").when(F.col("updated").isNotNull(), "feed:updated").when(F.col("created").isNotNull(), "feed:created").otherwise("ingestion_fallback").alias("time_kind"))
     return item.where("title <> '' or url <> ''")
 
 
@@ -50,6 +51,7 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 def atom_filings(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(ATOM).option("rowTag", "entry").format("xml").load(path)
     title, summary = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("summary", F.lit("")))
+    # fixed values: the patterns of a filing's title and summary
     form = r"^([\w\-/]+)\s*-\s*(.+)"
     return raw.select(title.alias("title"), F.coalesce(_found(title, form), F.lit("")).alias("form_type"), F.coalesce(_found(title, form, 2), title).alias("company_name"),
                       _found(title, r"\((\d{7,10})\)").alias("cik"), _found(summary, r"AccNo:</b>\s*([\d-]+)").alias("accession_number"), summary.alias("summary"), F.coalesce("link._href", F.lit("")).alias("link"), F.trim("updated").alias("updated"))
