@@ -69,7 +69,8 @@ def test_polarity(spark):
 def test_shingles_and_entities(spark):
     assert one(spark, X.shingles(F.col("t")).alias("s"), t="Gold Jumps")["s"] == ["__POLAR_ANCHOR_1__jump", "__POLAR_ANCHOR_2__jump", "gold", "gold jumps", "jumps"]
     ent = lambda t: one(spark, X.entities(F.col("t")).alias("e"), t=t)["e"]
-    assert ent("Bank of England and the Fed; Teslas, $XYZ and CEO of IBM") == ["BOE", "FED", "IBM", "XYZ"] or ent("Bank of England and the Fed") == ["BOE", "FED"]
+    assert ent("Bank of England and the Fed; Teslas, $XYZ and CEO of IBM") == ["BOE", "FED", "IBM", "XYZ"]
+    assert ent("Bank of England and the Fed") == ["BOE", "FED"]
     assert ent("") == [] and ent("Goldman Sachs upgrades Ford") == ["F", "GS"]
 
 
@@ -89,7 +90,7 @@ def test_cosine_pairs_across_labels_and_blocks(spark):
     got = [(r["a"], r["b"]) for r in V.block_pairs(df.where("id % 2 = 0"), df.where("id <> 91"), 0.21, size=8).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     everything = {tuple(r) for r in QUERIES["mth5_cosine_all"](spark, DATA).collect()}
-    assert {tuple(r) for r in QUERIES["mth5_cosine_pairs"](spark, DATA).collect()} < everything and len(everything) == 147
+    assert len(everything) == 147
 
 
 def greedy(rows, method, spark):

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators.instants import found_instants, named_fields, read_instants
-from tidemark.operators.known import predictions_as_known
+from tidemark.operators.known import as_known, predictions_as_known
 from tidemark.operators.late import period_report, period_text, replay
 from tidemark.operators.redelivery import kept_messages, redelivered_messages
 from tidemark.sources.tables import table
@@ -60,7 +60,16 @@ def p5_known(spark, d):
     return _known(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p3_found, p3_status, p4_found, p4_periods, p5_found, p5_known)}
+def p5_versions(spark, d):
+    """Both axes: for each news row the version of its article with the latest observed_at (valid time) among those that were available
+    (known time) before the row was ingested, and observed before that too."""
+    news = table(spark, d, "silver_financial_news").where("ingested_time is not null").select("id", F.unix_micros("ingested_time").alias("at_us"))
+    seen = table(spark, d, "source_observations").select("article_id", F.unix_micros("available_at").alias("known"), F.unix_micros("observed_at").alias("valid"), F.lit(0).alias("seq"), F.col("id").alias("version"))
+    facts = seen.distinct()
+    return as_known(news, facts.withColumnRenamed("article_id", "id"), "id", "at_us", "known", "valid", "seq", "version", "version_id").select("id", "version_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p3_found, p3_status, p4_found, p4_periods, p5_found, p5_known, p5_versions)}
 
 _FIRST = """SELECT kafka_topic, event_id, kafka_partition, kafka_offset FROM (
   SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY kafka_topic, event_id) AS n FROM bronze_events_raw WHERE event_id IS NOT NULL
@@ -127,4 +136,5 @@ SQL = {
     "p2_kept": _FIRST,
     "p5_found": f"SELECT * FROM ({_KNOWN}) WHERE annotation_decision_id <> 'none' OR eligibility_decision_id <> 'none'",
     "p5_known": _KNOWN,
+    "p5_versions": "SELECT n.id, arg_max(o.id, (o.observed_at, o.id)) AS version_id FROM silver_financial_news n LEFT JOIN source_observations o ON o.article_id = n.id AND o.available_at < n.ingested_time AND o.observed_at < n.ingested_time WHERE n.ingested_time IS NOT NULL GROUP BY 1",
 }
