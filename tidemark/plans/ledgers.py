@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 from tidemark.functions import text as X
 from tidemark.functions import vectors as V
 from tidemark.operators import clusters, pit
-from tidemark.plans.reference import ALL, CUT, CUT_SQL, N, bronze, filings, labels, news, observations, predictions, reviews, us
+from tidemark.plans.reference import ENTITIES_SQL, ALL, CUT, CUT_SQL, N, bronze, filings, labels, news, observations, predictions, reviews, us
 from tidemark.shared import materialize
 from tidemark.sources.tables import table
 
@@ -45,7 +45,7 @@ def agg23_value_stats(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), N(F.col("value") < 10).alias("low"))
 
 
-@query()
+@query(f"SELECT source, round(100.0 * avg((len({ENTITIES_SQL.format("coalesce(title, '')")}) > 0)::INT), 1)::DOUBLE AS coverage, count(*) AS n FROM silver_financial_news GROUP BY 1")
 def agg27_entity_coverage(s, d):
     return news(s, d).groupBy("source").agg(F.round(100 * F.avg((F.size(X.entities(F.coalesce("title", F.lit("")))) > 0).cast("double")), 1).alias("coverage"), ALL().alias("n"))
 

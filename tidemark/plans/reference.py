@@ -335,9 +335,17 @@ def txt1_tokens(s, d):
     return news(s, d).select("id", F.array_join(X.tokens(F.col("title")), "|").alias("tokens"))
 
 
-@query()
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+#: entity codes of {0}: each name on its own between other characters than small letters, then tickers
+ENTITIES_SQL = "list_sort(list_distinct(list_concat(list_transform(list_filter([" + ", ".join(f"{{{{'a': {_text(a)}, 'c': '{c}'}}}}" for a, c in sorted(X.ALIASES.items())) + r"], lambda x: regexp_matches(lower({0}), '(^|[^a-z])' || regexp_escape(x.a) || '($|[^a-z])')), lambda x: x.c), list_filter(list_concat(regexp_extract_all({0}, '\$([A-Z]{{1,5}})\b', 1), regexp_extract_all({0}, '(^|[^\w$])([A-Z]{{2,5}})\b', 2)), lambda w: w NOT IN (" + ", ".join(_text(w) for w in X.NO_TICKER) + ")))))"
+
+
+@query(f"SELECT id, array_to_string({ENTITIES_SQL.format('title')}, ',') AS entities FROM silver_financial_news WHERE title IS NOT NULL")
 def txt7_entities(s, d):
-    return news(s, d).select("id", F.array_join(X.entities(F.col("title")), ",").alias("entities"))
+    return news(s, d).where("title is not null").select("id", F.array_join(X.entities(F.col("title")), ",").alias("entities"))
 
 
 @query("SELECT doc_id, substring(trim(regexp_replace(text, '<[^>]+>', '', 'g')), 1, 500) AS plain FROM documents")
