@@ -3,7 +3,7 @@
 Vectors are normalised and exact copies folded into classes (the smallest ids of a class answer for it). Centroids
 are fitted on a bounded sample (`sample` vectors, documented parameter); every vector is then indexed: assigned
 to its nearest centroid and written, in blocks of at most `block`, to index files on shared storage holding the
-rotated residual's sign bits, its correction scalars and the exact vector. Each block of queries reads the codes
+rotated residual's sign bits, its correction scalars and the vector as it came. Each block of queries reads the codes
 of the lists it probes, estimates every inner product from the packed bits and the scalars, keeps the
 candidates whose upper error bound reaches the k-th best lower bound, and reranks those by exact cosine.
 
@@ -77,6 +77,12 @@ def estimate(code: np.ndarray, scalars: np.ndarray, c: np.ndarray, q: np.ndarray
     return est, err
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision."""
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _save(uri: str, **arrays: np.ndarray) -> None:
     buffer = io.BytesIO()
     for name in ("code", "scalars", "id"):
@@ -133,15 +139,13 @@ def most_similar(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, l
         return np.frombuffer(get_bytes(f"{root}/centroids.npy"), np.float32).reshape(-1, dim)
 
     def unit(v: pd.Series) -> np.ndarray:
-        m = np.stack(v.to_numpy()).astype(np.float64)
-        return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+        return _unit(np.stack(v.to_numpy())).astype(np.float32)
 
     def assign(batches):
         c = centroids()
         for pdf in batches:
             if len(pdf):
-                m = unit(pdf["v"])
-                yield pd.DataFrame({"id": pdf["id"], "list": np.argmax(m @ c.T, axis=1), "v": list(m)})
+                yield pd.DataFrame({"id": pdf["id"], "list": np.argmax(unit(pdf["v"]) @ c.T, axis=1), "v": pdf["v"]})
 
     assigned = materialize(classes.select("id", "v").mapInPandas(assign, "id long, list int, v array<float>"), "vector-lists")
     discard(classes)  # the lists hold the vectors now
@@ -152,9 +156,8 @@ def most_similar(df: DataFrame, ident: str, vector: str, dim: int, k: int = 5, l
 
     def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        m = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-        code, scalars = encode(m, centroids()[key[0]], rotation(dim, seed))
-        _save(f"{root}/{key[0]:05d}-{key[1]:05d}", code=code, scalars=scalars, id=pdf["id"].to_numpy(np.int64), x=m)
+        code, scalars = encode(unit(pdf["v"]), centroids()[key[0]], rotation(dim, seed))
+        _save(f"{root}/{key[0]:05d}-{key[1]:05d}", code=code, scalars=scalars, id=pdf["id"].to_numpy(np.int64), x=np.stack(pdf["v"].to_numpy()))
         return pd.DataFrame({"list": [key[0]], "block": [key[1]], "n": [len(pdf)]})
 
     written = materialize(cut.groupBy("list", "block").applyInPandas(write, "list int, block int, n int"), "vector-blocks")
@@ -189,7 +192,8 @@ def _search_block(root, lst, blk, split, c, rot, dim, k, probes) -> pd.DataFrame
     out = []
     for a in range(0, len(ids), 512):
         qid = ids[a : a + 512]
-        q = _vectors(f"{root}/{lst:05d}-{blk:05d}", np.arange(a, a + len(qid)), dim)
+        exact = _unit(_vectors(f"{root}/{lst:05d}-{blk:05d}", np.arange(a, a + len(qid)), dim))
+        q = exact.astype(np.float32)
         near = q @ c.T
         probed = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
         asks = np.zeros((len(qid), len(c)), bool)
@@ -215,9 +219,9 @@ def _search_block(root, lst, blk, split, c, rot, dim, k, probes) -> pd.DataFrame
             if live.any():
                 i, j, o = i[live], j[live], oid[live]
                 need, at = np.unique(j, return_inverse=True)
-                v = _vectors(uri, need, dim).astype(np.float64)
+                v = _unit(_vectors(uri, need, dim))
                 for s in range(0, len(i), 16384):
-                    best_s.append(np.einsum("ij,ij->i", q[i[s : s + 16384]].astype(np.float64), v[at[s : s + 16384]]))
+                    best_s.append(np.einsum("ij,ij->i", exact[i[s : s + 16384]], v[at[s : s + 16384]]))
                 best_i.append(i)
                 best_o.append(o)
         if best_i:

@@ -73,6 +73,7 @@ _SEQUENCE = f"""{_TITLES}, late AS (SELECT b AS id, tb AS t, list(a ORDER BY ta,
 #: Brute force; p1 is equal as long as no neighbour is missed, which holds on the small scales.
 SQL: dict[str, str] = {
     "p1_found": _TOP + " SELECT DISTINCT least(id, other) AS result_id_a, greatest(id, other) AS result_id_b FROM t WHERE place <= 5",
+    "p1_top": _TOP + " SELECT id, other, similarity, place FROM t WHERE place <= 5",
     "p6_found": _SEQUENCE + " SELECT least(id, partner) AS id_a, greatest(id, partner) AS id_b FROM run WHERE partner IS NOT NULL",
     "p7_found": _TITLES + " SELECT a AS id_a, b AS id_b FROM p",
     "p7_groups": _TITLES + """, reach AS (SELECT a AS id, a AS other FROM links UNION SELECT r.id, links.b FROM reach r JOIN links ON links.a = r.other),
