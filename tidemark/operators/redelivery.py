@@ -3,7 +3,7 @@
 Each batch is first deduplicated locally (map-side combined, so one identifier may hold any share of the rows),
 then split by hash prefix. The task of a prefix binary-searches the persisted identifier runs of that prefix:
 identifiers found there are redeliveries, the others are novel and become the batch's new immutable run.
-Every `merge_every` runs of a level are merged into one of the next.
+Fewer than `merge_every` runs stay live: the newest are merged, with all older ones that are not at least twice as large.
 
 Defined results: a null identifier is no message (neither kept nor found); a null topic is a topic of its own;
 null ingested_at, partition or offset sort last; repeated rows and ties give the same kept row; an empty table
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.runs import Manifest, compact, full_level, run_file, search_run, write_run
+from tidemark.runs import Manifest, compact, run_file, search_run, write_run
 from tidemark.shared import materialize, scratch
 
 LAST = 2**63 - 1
@@ -71,10 +71,14 @@ class RedeliveryIndex:
         lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")  # the first 32 bits choose the prefix range
         prefixed = local.withColumn("key", _identity()).withColumn("prefix", F.shiftright(lead * self.prefixes, 32).cast("int")).withColumn("key", F.unhex("key"))
         out = materialize(prefixed.groupBy("prefix").applyInPandas(check, OUT), "redelivery")
-        live = [*state["runs"], [name, 0]]
-        while full := full_level(live, self.merge_every):
-            merged = compact(self.spark, root, [r[0] for r in full], self.prefixes, PAYLOAD, f"merged-{state['batches']:06d}-{full[0][1] + 1}")
-            live = [*[r for r in live if r not in full], [merged, full[0][1] + 1]]
+        live = [*state["runs"], [name, 1]]  # names and the batches they hold
+        if len(live) >= self.merge_every:
+            k, size = 2, live[-1][1] + live[-2][1]
+            while k < len(live) and live[-k - 1][1] < 2 * size:  # large old runs are left alone
+                size += live[-k - 1][1]
+                k += 1
+            merged = compact(self.spark, root, [r[0] for r in live[-k:]], self.prefixes, PAYLOAD, f"merged-{state['batches']:06d}")
+            live = [*live[:-k], [merged, size]]
         state = {"runs": live, "batches": state["batches"] + 1}
         self.manifest.save(state)
         return out
