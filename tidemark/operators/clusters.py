@@ -6,40 +6,69 @@ their prefixes (prefix filter: no pair above the threshold is lost, no pair belo
 
 Defined results: null titles have no candidates; rows without available_at are left out; ties go to the earlier row.
 """
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import conflict, jaccard, profile, shingles, tokens
-from tidemark.shared import materialize
+from tidemark.operators.rarity import by_rarity, common_elements
+from tidemark.shared import get_bytes, materialize, put_bytes, scratch
 
 ORDER = ["available_at", "observed_at", "version_id"]
 
 
-def prefix_keys(df: DataFrame, ident: str, elems: str, threshold: float) -> DataFrame:
-    """ident, key: the rarest n - ceil(threshold n) + 1 elements of each row; alike rows share at least one."""
-    e = df.select(ident, F.size(elems).alias("n"), F.explode(elems).alias("key"))
-    counts = e.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    ranked = e.join(counts, "key").withColumn("r", F.row_number().over(Window.partitionBy(ident).orderBy("c", "key")))
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select(ident, "key")
+def similar_rows(df: DataFrame, ident: str, elems: str, threshold: float, side: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """a, b, score, and c_a, c_b of each column c to keep: all pairs with Jaccard >= threshold (a < b), exact; with `side` only pairs of
+    two sides, `a` on the lesser one. Callers fold equal sets first (folded), so that copies make no pairs.
 
-
-def similar_rows(df: DataFrame, ident: str, elems: str, threshold: float, side: str | None = None) -> DataFrame:
-    """a, b, score: all pairs with Jaccard >= threshold (a < b), exact; with `side` only pairs of two sides, `a` on the lesser one.
-    Callers fold equal sets first (folded), so that copies make no pairs."""
-    base = materialize(df.select(F.col(ident).alias("id"), F.col(elems).alias("e"), (F.col(side) if side else F.lit("")).alias("side")).where(F.size("e") > 0), "similar")
-    keys = materialize(prefix_keys(base, "id", "e", threshold).join(base.select("id", "side", F.size("e").alias("n")), "id"), "prefixes")
-    order = (F.col("x.side") < F.col("y.side")) if side else (F.col("x.id") < F.col("y.id"))
-    fits = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")
-    met = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & order & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    full = met.join(base.select(F.col("id").alias("a"), F.col("e").alias("ea")), "a").join(base.select(F.col("id").alias("b"), F.col("e").alias("eb")), "b")
-    return full.withColumn("score", jaccard(F.col("ea"), F.col("eb"))).where(F.col("score") >= threshold).select("a", "b", "score")
-
-
-def folded(df: DataFrame, ident: str, elems: str, *by: str) -> DataFrame:
-    """One row per distinct element set (and columns `by`): the least ident, the set, copies."""
-    key = F.sha2(F.to_json(elems), 256)
-    return df.groupBy(*by, key.alias("_set")).agg(F.min(ident).alias(ident), F.first(elems).alias(elems), F.count(F.lit(1)).alias("copies")).drop("_set")
+    Rows go by number and elements as 64-bit hashes, so that neither names nor words are shuffled. Alike rows share one of the rarest
+    n - ceil(threshold n) + 1 elements of each; at the first shared one, what is left of both bounds what they can share, which
+    drops most meetings before pairs are formed.
+    """
+    rows = df.select(F.col(ident).alias("id"), *keep, (F.col(side) if side else F.lit(0)).alias("side"), F.transform(elems, lambda x: F.xxhash64(x)).alias("elems"))
+    rows = materialize(rows.where(F.size("elems") > 0).withColumn("k", F.monotonically_increasing_id()), "similar")
+    place = scratch(df.sparkSession, "common")
+    put_bytes(place, common_elements(rows).tobytes())
+
+    def prefixes(batches):
+        table = np.frombuffer(get_bytes(place), np.int64).reshape(2, -1)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            flat, offsets = by_rarity(list(pdf["elems"]), table)
+            sizes = np.diff(offsets)
+            take = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            of = np.repeat(np.arange(len(pdf)), take)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(take) - take, take)
+            yield pd.DataFrame({"key": flat[offsets[of] + at], "k": pdf["k"].to_numpy()[of], "n": sizes[of], "left": sizes[of] - at, "side": pdf["side"].to_numpy()[of]})
+
+    keys = rows.select("k", "side", "elems").mapInPandas(prefixes, f"key long, k long, n int, left int, side {dict(rows.dtypes)['side']}")
+    one, two = (keys.select("key", *[F.col(c).alias(c + x) for c in ("k", "n", "left", "side")]) for x in "ab")
+    order = F.col("sidea") < F.col("sideb") if side else F.col("ka") < F.col("kb")
+    enough = F.least("lefta", "leftb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-6
+    met = one.join(two, "key").where(order & enough).select("ka", "kb").distinct()
+    sets = lambda x: rows.select(F.col("k").alias("k" + x), F.col("elems").alias("e" + x))
+    full = met.join(sets("a"), "ka").join(sets("b"), "kb").withColumn("score", jaccard(F.col("ea"), F.col("eb")))
+    pairs = full.where(F.col("score") >= threshold).select("ka", "kb", "score")
+    named = lambda x: rows.select(F.col("k").alias("k" + x), F.struct("id", *keep).alias("r" + x))
+    pairs = pairs.join(named("a"), "ka").join(named("b"), "kb")
+    if not side:
+        swap = F.col("ra.id") > F.col("rb.id")
+        pairs = pairs.select("score", F.when(swap, F.col("rb")).otherwise(F.col("ra")).alias("ra"), F.when(swap, F.col("ra")).otherwise(F.col("rb")).alias("rb"))
+    return pairs.select(F.col("ra.id").alias("a"), F.col("rb.id").alias("b"), "score", *[F.col(f"r{x}.{c}").alias(f"{c}_{x}") for c in keep for x in "ab"])
+
+
+def folded(df: DataFrame, ident: str, elems: str, text: str, *by: str) -> DataFrame:
+    """One row per distinct element set (and columns `by`): the least ident, a text that has the set, copies. The text is moved
+    in the set's place, as it is the smaller."""
+    return df.groupBy(*by, set_id(F.col(elems)).alias("_set")).agg(F.min(ident).alias(ident), F.first(text).alias(text), F.count(F.lit(1)).alias("copies")).drop("_set")
+
+
+def set_id(value: Column) -> Column:
+    """128 bits that name an array or struct."""
+    return F.unhex(F.md5(F.to_json(value)))
 
 
 def jump(parents: DataFrame) -> DataFrame:
