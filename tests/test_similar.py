@@ -59,4 +59,18 @@ def test_jn13_moves_no_pairs_of_a_template(spark, folder, pairs):
 def test_mth4_moves_rows_as_numbers(spark, folder, pairs):
     got, n = moved(spark, lambda: QUERIES["mth4_jaccard_pairs"](spark, folder).collect())
     assert {(x["a"], x["b"]): x["score"] for x in got} == pairs and all(x["copies_a"] >= 1 and x["copies_b"] >= 1 for x in got)
-    assert n < 1_000 * N
+    assert n < 400 * N
+
+
+def test_jn12_ends_pairs_apart_in_time(spark, folder):
+    """Each title's best earlier one of a day, by brute force; pairs further apart are dropped before rows are joined to them."""
+    rows = spark.read.parquet(f"{folder}/silver_financial_news.parquet")
+    rows = sorted((x["ingested_time"], x["id"], set(x["e"])) for x in rows.select("id", "ingested_time", X.shingles(X.F.col("title")).alias("e")).collect())
+    want = {}
+    for n, (t, i, e) in enumerate(rows):
+        near = [(-len(e & y) / len(e | y), s, j) for s, j, y in rows[:n] if s >= t - timedelta(days=1) and len(e & y) >= 0.75 * len(e | y)]
+        if near:
+            want[i] = (min(near)[2], round(-min(near)[0], 6))
+    got, n = moved(spark, lambda: {x["id"]: (x["parent"], x["score"]) for x in QUERIES["jn12_best_within_day"](spark, folder).collect()})
+    assert got == want and len(want) > 10
+    assert n < 1_500 * N

@@ -70,4 +70,4 @@ def cascade(news: DataFrame, vectors: DataFrame, threshold: float = 0.76) -> Dat
     both = n.join(lexical, "id", "left").join(semantic, "id", "left")
     tier = F.when(F.col("p2").isNotNull(), "lexical").when(F.col("p3").isNotNull(), "semantic").otherwise("none")
     parents = materialize(both.select(F.col("id").alias("version_id"), tier.alias("tier"), F.coalesce("p2", "p3").alias("parent")), "tiers")
-    return parents.join(jump(parents), "version_id").select(F.col("version_id").alias("id"), "tier", "parent", F.col("root").alias("cluster_id"))
+    return jump(parents).select(F.col("version_id").alias("id"), "tier", "parent", F.col("root").alias("cluster_id"))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.text import conflict, jaccard, profile, shingles, tokens
 from tidemark.operators.rarity import by_rarity, common_elements
-from tidemark.shared import get_bytes, materialize, put_bytes, scratch
+from tidemark.shared import discard, get_bytes, materialize, put_bytes, scratch
 
 ORDER = ["available_at", "observed_at", "version_id"]
 
@@ -72,60 +72,77 @@ def set_id(value: Column) -> Column:
 
 
 def jump(parents: DataFrame) -> DataFrame:
-    """version_id, root from version_id, parent (null: root): doubling until nothing moves."""
-    cur = materialize(parents.select("version_id", F.coalesce("parent", "version_id").alias("root")), "roots")
+    """Adds root to rows of version_id, parent (null: root): doubling until nothing moves. Only rows with a parent are moved about."""
+    cur = materialize(parents.where("parent is not null").select("version_id", F.col("parent").alias("root")), "roots")
     while True:
         up = cur.select(F.col("version_id").alias("root"), F.col("root").alias("next"))
-        new = materialize(cur.join(up, "root").select("version_id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+        new = materialize(cur.join(up, "root", "left").select("version_id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        discard(cur)
         cur = new.select("version_id", "root")
         if new.where("moved").isEmpty():
-            return cur
+            return parents.join(cur, "version_id", "left").withColumn("root", F.coalesce("root", "version_id"))
 
 
 def earliest_of_class(info: DataFrame, alike: DataFrame, window_hours: int) -> DataFrame:
-    """version_id, parent: of the rows (version_id, t, o, class c) that ask, the best earlier row of the window in a class that is alike
-    (a asks, b answers, score): highest score, then earliest. A frame over each pair of classes and day finds a class's
+    """version_id, parent, score: of the rows (version_id, t, o, class c) that ask, the best earlier row of the window in a class that is
+    alike (a asks, b answers, score): highest score, then earliest. A frame over each pair of classes and day finds a class's
     earliest row, so copies never meet in pairs and no group is larger than two days of two classes."""
     span = window_hours * 3_600_000_000
     day = F.floor(F.col("t") / span)
-    me = F.struct("t", "o", "version_id")
-    asks = info.where("asks").select(F.col("c").alias("a"), "t", me.alias("me"), day.alias("day"), F.lit(True).alias("asking"))
-    held = info.select(F.col("c").alias("b"), "t", me.alias("me"), F.explode(F.array(day, day + 1)).alias("day"), F.lit(False).alias("asking"))
-    columns = ["a", "b", "score", "t", "me", "day", "asking"]
-    both = asks.join(alike, "a").select(columns).unionByName(held.join(alike, "b").select(columns))
+    asks = info.where("asks").select(F.col("c").alias("a"), "version_id", "t", "o").join(alike, "a").withColumns({"day": day, "asking": F.lit(True)})
+    held = info.select(F.col("c").alias("b"), "version_id", "t", "o").join(alike, "b").withColumns({"day": F.explode(F.array(day, day + 1)), "asking": F.lit(False)})
+    columns = ["a", "b", "score", "t", F.struct("t", "o", "version_id").alias("me"), "day", "asking"]
+    both = asks.select(columns).unionByName(held.select(columns))
     frame = Window.partitionBy("a", "b", "day").orderBy("t").rangeBetween(-span, 0)
     first = both.withColumn("first", F.min(F.when(~F.col("asking"), F.col("me"))).over(frame)).where(F.col("asking") & (F.col("first") < F.col("me")))
-    return first.groupBy(F.col("me.version_id").alias("version_id")).agg(F.min_by("first.version_id", F.struct(-F.col("score"), "first")).alias("parent"))
+    best = first.groupBy(F.col("me.version_id").alias("version_id")).agg(F.min_by(F.struct("first.version_id", "score"), F.struct(-F.col("score"), "first")).alias("best"))
+    return best.select("version_id", F.col("best.version_id").alias("parent"), "best.score")
 
 
-def assign_clusters(rows: DataFrame, method: str = "lexical", threshold: float = 0.75, window_hours: int = 24) -> DataFrame:
-    """rows: version_id (unique), article_id, title, available_at, observed_at. Returns version_id, parent, cluster_id.
+def best_earlier(rows: DataFrame, method: str, threshold: float, window_hours: int) -> DataFrame:
+    """version_id, parent, score of the rows (version_id, title, t, o, asks) that ask and have an alike earlier title (exact: equal squeezed
+    lower-case title; lexical: shingle Jaccard) in the window without polarity conflict.
 
-    A row joins its article's earlier rows first; else the best earlier row in the window (exact: equal squeezed
-    lower-case title; lexical: shingle Jaccard) that has no polarity conflict with it; else it starts a cluster.
+    Titles are folded to classes. Two classes whose spans lie more than the window apart, or that have one row between
+    them, can't answer each other: such pairs end before any row is joined to them.
     """
+    title = F.col("title")
+    value = F.array_join(F.filter(F.split(F.lower(title), r"\s+"), lambda w: w != ""), " ") if method == "exact" else shingles(title)
+    info = rows.where(title.isNotNull()).withColumns({"p": profile(tokens(title)), "e": value})
+    info = info if method == "exact" else info.where(F.size("e") > 0)
+    info = materialize(info.select("version_id", "t", "o", "title", "p", "asks", set_id(F.struct("e", "p")).alias("c")), "cluster-info")
+    span = [F.min("t").alias("since"), F.max("t").alias("until")]
+    copies = info.groupBy("c").agg(F.first("p").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    alike = copies.where(~conflict(F.col("p"), F.col("p"))).select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("score"))
+    if method == "lexical":
+        classes = info.groupBy("c").agg(F.first("title").alias("title"), F.first("p").alias("p"), *span).withColumn("e", shingles(title))
+        pairs = similar_rows(classes, "c", "e", threshold, keep=("p", "since", "until"))
+        pairs = materialize(pairs.where(~conflict(F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b"), "cluster-pairs")
+        back = pairs.toDF("b", "a", "score", "since_b", "since_a", "until_b", "until_a")
+        met = (F.col("since_b") <= F.col("until_a")) & (F.col("until_b") >= F.col("since_a") - window_hours * 3_600_000_000)
+        alike = alike.unionByName(pairs.unionByName(back).where(met).select("a", "b", "score"))
+    return earliest_of_class(info, materialize(alike, "cluster-alike"), window_hours)
+
+
+def find_parents(rows: DataFrame, method: str = "lexical", threshold: float = 0.75, window_hours: int = 24) -> DataFrame:
+    """version_id, parent (null: starts a cluster) by the rule of assign_clusters."""
     if method not in ("article", "exact", "lexical") or not 0 < threshold <= 1 or window_hours <= 0:
         raise ValueError("unknown method, threshold or window")
     r = rows.where("version_id is not null and available_at is not null")
     r = materialize(r.select("version_id", "article_id", "title", F.unix_micros("available_at").alias("t"), F.coalesce(F.unix_micros("observed_at"), F.lit(-(2**62))).alias("o")), "cluster-rows")
     family = Window.partitionBy("article_id").orderBy("t", "o", "version_id")
-    r = r.withColumn("first", F.when(F.col("article_id").isNotNull(), F.first("version_id").over(family)).otherwise(F.col("version_id")))
-    kin = r.where("first <> version_id").select("version_id", F.col("first").alias("parent"))
-    if method == "article":
-        parents = kin
-    else:
-        info = r.select("version_id", "t", "o", shingles(F.col("title")).alias("e"), F.array_join(F.filter(F.split(F.lower("title"), r"\s+"), lambda w: w != ""), " ").alias("norm"), profile(tokens(F.col("title"))).alias("p"), (F.col("first") == F.col("version_id")).alias("asks")).where("norm is not null")
-        info = materialize(info.withColumn("c", F.sha2(F.to_json(F.struct("norm" if method == "exact" else "e", "p")), 256)), "cluster-info")
-        classes = materialize(info.groupBy("c").agg(F.first("e").alias("e"), F.first("p").alias("p")), "cluster-classes")
-        alike = classes.select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("score"))
-        if method == "lexical":
-            alike = alike.join(classes.where(F.size("e") > 0).select(F.col("c").alias("a")), "a", "left_semi")
-            pairs = materialize(similar_rows(classes, "c", "e", threshold), "cluster-pairs")
-            alike = alike.unionByName(pairs).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-        side = lambda c: classes.select(F.col("c").alias(c), F.col("p").alias("p" + c))
-        alike = materialize(alike.join(side("a"), "a").join(side("b"), "b").where(~conflict(F.col("pa"), F.col("pb"))).select("a", "b", "score"), "cluster-alike")
-        best = earliest_of_class(info, alike, window_hours)
-        parents = kin.unionByName(best)
-    all_ = materialize(r.select("version_id").join(parents, "version_id", "left"), "parents")
-    roots = jump(all_)
-    return all_.join(roots, "version_id").select("version_id", "parent", F.col("root").alias("cluster_id"))
+    known = r.where("article_id is not null").withColumn("first", F.first("version_id").over(family))
+    parents = known.where("first <> version_id").select("version_id", F.col("first").alias("parent"))
+    if method != "article":
+        asking = known.withColumn("asks", F.col("first") == F.col("version_id")).drop("first").unionByName(r.where("article_id is null").withColumn("asks", F.lit(True)))
+        parents = parents.unionByName(best_earlier(asking, method, threshold, window_hours).select("version_id", "parent"))
+    return materialize(r.select("version_id").join(parents, "version_id", "left"), "parents")
+
+
+def assign_clusters(rows: DataFrame, method: str = "lexical", threshold: float = 0.75, window_hours: int = 24) -> DataFrame:
+    """rows: version_id (unique), article_id, title, available_at, observed_at. Returns version_id, parent, cluster_id.
+
+    A row joins its article's earlier rows first; else the best earlier row in the window (exact: equal squeezed
+    lower-case title; lexical: shingle Jaccard) that has no polarity conflict with it; else it starts a cluster.
+    """
+    return jump(find_parents(rows, method, threshold, window_hours)).select("version_id", "parent", F.col("root").alias("cluster_id"))
