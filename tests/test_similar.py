@@ -74,3 +74,16 @@ def test_jn12_ends_pairs_apart_in_time(spark, folder):
     got, n = moved(spark, lambda: {x["id"]: (x["parent"], x["score"]) for x in QUERIES["jn12_best_within_day"](spark, folder).collect()})
     assert got == want and len(want) > 10
     assert n < 1_500 * N
+
+
+def test_str6_moves_a_vector_once(spark):
+    """A day of rows, of which only the end of a block is held for the next one's window."""
+    from tidemark.operators.cascade import window_neighbours
+
+    r = random.Random(3)
+    rows = [(f"i{k:04d}", k * 60_000_000, [r.gauss(0, 1) for _ in range(384)]) for k in range(1440)]
+    rows += [("twin", 1200 * 60_000_000 + 1, rows[1110][2]), ("late", 1400 * 60_000_000 + 1, rows[1200][2])]
+    df = spark.createDataFrame(rows, "id string, t long, v array<float>")
+    got, n = moved(spark, lambda: [tuple(x) for x in window_neighbours(df, cap=500).collect()])
+    assert got == [("i1110", "twin", 1.0)]
+    assert n < 1.6 * len(rows) * 384 * 4

@@ -1,12 +1,15 @@
 """Semantic neighbours in a sliding window, and the cascade of exact, lexical and semantic duplicate tiers.
 
 The window of a row holds the rows of the last two hours, at most the newest 1,000 (the rank cap of the search).
-Rows are ranked by arrival in hour buckets; a rank block of 1,000 meets itself and the block before it, so no
-group is larger than 2,000 rows however many arrive at once, and one matrix product serves a block.
+Rows are ranked by arrival in hour buckets; a rank block of 1,000 meets itself and those rows of the block before it that its first
+row's window reaches, so no group is larger than 2,000 rows however many arrive at once, and one matrix product serves a
+block. Ranks are found without the vectors; these go to their block once, by the blocks' first rows (one in 1,000, on the driver).
 
 Defined results: rows without usable vector have no semantic neighbours; filings and empty titles skip the lexical and
 semantic tiers; ties in score go to the smaller id; null arrival times are left out.
 """
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.text import conflict, entities, profile, tokens
-from tidemark.operators.clusters import assign_clusters, jump
-from tidemark.shared import materialize
+from tidemark.operators.clusters import find_parents, jump
+from tidemark.shared import get_json, materialize, put_json, scratch
 
 CAP = 1000
 HOUR_US = 3_600_000_000
@@ -31,16 +34,26 @@ def arrival_rank(df: DataFrame, at: str = "t", ident: str = "id") -> DataFrame:
 
 def window_neighbours(rows: DataFrame, threshold: float = 0.76, window_s: int = 7200, cap: int = CAP) -> DataFrame:
     """rows: id, t (microseconds), v (array<float>, equal lengths). a (earlier), b, score for pairs in the window."""
-    ranked = materialize(arrival_rank(rows.where("t is not null and v is not null").select("id", "t", "v")), "ranked")
-    block = F.floor(F.col("rank") / cap)
-    spread = ranked.withColumn("asks", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("block", F.when(F.col("asks"), block).otherwise(block + 1))
+    own = materialize(rows.where("t is not null and v is not null").select("id", "t", "v"), "window-rows")
+    starts = sorted((r["t"], r["id"]) for r in arrival_rank(own.select("id", "t")).where(F.col("rank") % cap == 0).collect())
+    place = scratch(rows.sparkSession, "starts")
+    put_json(place, starts)
+
+    def spread(batches):
+        starts = [tuple(x) for x in get_json(place)]
+        for pdf in batches:
+            block = np.array([bisect_right(starts, x) - 1 for x in zip(pdf["t"], pdf["id"])], np.int64)
+            reach = np.array([starts[b + 1][0] if b + 1 < len(starts) else np.iinfo(np.int64).max for b in block], np.int64) - window_s * 1_000_000
+            held = pdf["t"].to_numpy(np.int64) > reach
+            yield pdf.assign(block=block, asks=True)
+            yield pdf[held].assign(block=block[held] + 1, asks=False)
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
+        pdf = pdf.sort_values(["t", "id"]).reset_index(drop=True)  # what is held of the block before is its end
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         n = np.linalg.norm(x, axis=1)
         x = x / np.where(n > 0, n, 1)[:, None]
-        rank, t, ask = pdf["rank"].to_numpy(), pdf["t"].to_numpy(), pdf["asks"].to_numpy(bool)
+        rank, t, ask = np.arange(len(pdf)), pdf["t"].to_numpy(), pdf["asks"].to_numpy(bool)
         q = np.flatnonzero(ask & (n > 0))
         score = np.round(x[q] @ x.T, 6)
         near = (score >= threshold) & (n > 0) & (rank < rank[q][:, None]) & (rank >= rank[q][:, None] - cap) & (t > t[q][:, None] - window_s * 1_000_000)
@@ -48,7 +61,8 @@ def window_neighbours(rows: DataFrame, threshold: float = 0.76, window_s: int =
         ids = pdf["id"].to_numpy(object)
         return pd.DataFrame({"a": ids[j], "b": ids[q][i], "score": score[i, j]})
 
-    return spread.groupBy("block").applyInPandas(meet, "a string, b string, score double")
+    blocks = own.mapInPandas(spread, f"id string, t long, v {dict(own.dtypes)['v']}, block long, asks boolean")
+    return blocks.groupBy("block").applyInPandas(meet, "a string, b string, score double")
 
 
 def cascade(news: DataFrame, vectors: DataFrame, threshold: float = 0.76) -> DataFrame:
@@ -56,13 +70,14 @@ def cascade(news: DataFrame, vectors: DataFrame, threshold: float = 0.76) -> Dat
 
     news: id (unique), source, title, t; vectors: id, v. The semantic window holds the rows that missed the lexical tier.
     """
-    n = materialize(news.where("id is not null and t is not null").select("id", "source", "title", "t"), "cascade")
+    n = news.where("id is not null and t is not null").select("id", "source", "title", "t")
     fuzzy = n.where("source <> 'SEC' and trim(coalesce(title, '')) <> ''")
     as_rows = fuzzy.select(F.col("id").alias("version_id"), F.lit(None).cast("string").alias("article_id"), "title", F.timestamp_micros("t").alias("available_at"), F.timestamp_micros("t").alias("observed_at"))
-    lexical = materialize(assign_clusters(as_rows, "lexical").where("parent is not null").select(F.col("version_id").alias("id"), F.col("parent").alias("p2")), "lexical")
+    lexical = materialize(find_parents(as_rows, "lexical").where("parent is not null").select(F.col("version_id").alias("id"), F.col("parent").alias("p2")), "lexical")
     missed = fuzzy.join(lexical, "id", "left_anti")
-    pairs = window_neighbours(missed.join(vectors, "id"), threshold)
-    info = materialize(missed.select("id", profile(tokens(F.col("title"))).alias("p"), entities(F.col("title")).alias("e")), "gates")
+    pairs = materialize(window_neighbours(missed.join(vectors, "id"), threshold), "semantic")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    info = materialize(missed.join(named, "id", "left_semi").select("id", profile(tokens(F.col("title"))).alias("p"), entities(F.col("title")).alias("e")), "gates")
     side = lambda c: info.select(F.col("id").alias(c), F.col("p").alias("p" + c), F.col("e").alias("e" + c))
     gate = (F.size("ea") == 0) | (F.size("eb") == 0) | F.arrays_overlap("ea", "eb")
     ok = pairs.join(side("a"), "a").join(side("b"), "b").where(gate & ~conflict(F.col("pa"), F.col("pb")))
