@@ -87,3 +87,17 @@ def test_str6_moves_a_vector_once(spark):
     got, n = moved(spark, lambda: [tuple(x) for x in window_neighbours(df, cap=500).collect()])
     assert got == [("i1110", "twin", 1.0)]
     assert n < 1.6 * len(rows) * 384 * 4
+
+
+def test_jn11_moves_no_pairs(spark):
+    """Most rows of one template overlap: far more pairs than rows come out, none of them is shuffled."""
+    from tidemark.operators.clusters import overlapping_rows
+
+    r = random.Random(5)
+    sets = {f"id{k:03d}": sorted({f"w{r.randrange(40)}" for _ in range(4)} | {"port", "strike", "union", "sites"}) for k in range(300)}
+    scores = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets.items() for b, y in sets.items() if a < b}
+    want = {k: v for k, v in scores.items() if v >= 0.3}
+    df = spark.createDataFrame(list(sets.items()), "id string, e array<string>")
+    got, n = moved(spark, lambda: [tuple(x) for x in overlapping_rows(df, "id", "e", 0.3).collect()])
+    assert len(got) == len(want) > 100 * len(sets) and {(a, b): s for a, b, s in got} == want
+    assert n < 2_000 * len(sets)

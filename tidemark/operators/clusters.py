@@ -60,6 +60,30 @@ def similar_rows(df: DataFrame, ident: str, elems: str, threshold: float, side:
     return pairs.select(F.col("ra.id").alias("a"), F.col("rb.id").alias("b"), "score", *[F.col(f"r{x}.{c}").alias(f"{c}_{x}") for c in keep for x in "ab"])
 
 
+def overlapping_rows(df: DataFrame, ident: str, elems: str, threshold: float) -> DataFrame:
+    """a, b, score as of similar_rows, for low thresholds, where the result is itself about the square of the rows: no pair is ever moved.
+    Each row goes with its set to the keys of its prefix, and a pair is judged and returned at the first element it shares."""
+    rows = df.select(F.col(ident).alias("id"), F.transform(elems, lambda x: F.xxhash64(x)).alias("elems")).where(F.size("elems") > 0)
+    rows = materialize(rows, "overlapping")
+    place = scratch(df.sparkSession, "common")
+    put_bytes(place, common_elements(rows).tobytes())
+
+    def sort(batches):
+        table = np.frombuffer(get_bytes(place), np.int64).reshape(2, -1)
+        for pdf in batches:
+            flat, offsets = by_rarity(list(pdf["elems"]), table)
+            yield pd.DataFrame({"id": pdf["id"], "e": np.split(flat, offsets[1:-1]) if len(pdf) else []})
+
+    n = F.size("e")
+    keys = rows.mapInPandas(sort, "id string, e array<long>").withColumn("key", F.explode(F.slice("e", F.lit(1), (n - F.ceil(threshold * n - 1e-9) + 1).cast("int"))))
+    one, two = (keys.select("key", F.col("id").alias(x), F.col("e").alias("e" + x)) for x in "ab")
+    enough = F.least(F.size("ea"), F.size("eb")) >= threshold * F.greatest(F.size("ea"), F.size("eb")) - 1e-9
+    shared = F.array_intersect("ea", "eb")
+    met = one.join(two, "key").where((F.col("a") < F.col("b")) & enough).withColumn("shared", shared).where(F.get("shared", F.lit(0)) == F.col("key"))
+    score = F.size("shared").cast("double") / (F.size("ea") + F.size("eb") - F.size("shared"))
+    return met.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+
+
 def folded(df: DataFrame, ident: str, elems: str, text: str, *by: str) -> DataFrame:
     """One row per distinct element set (and columns `by`): the least ident, a text that has the set, copies. The text is moved
     in the set's place, as it is the smaller."""
