@@ -81,6 +81,34 @@ def test_posterior_chooses_the_order(spark, monkeypatch):
     assert flat[rows[0]]["time_status"] == flat[rows[1]]["time_status"] == "ambiguous" and flat[rows[0]]["instant_us"] is None
 
 
+def test_what_a_source_writes_moves_the_posterior(spark, tmp_path, monkeypatch):
+    """The registry chooses, so p3_found is the same whatever the texts say; p3_status tells how far they bear it out."""
+    from tidemark.operators import instants
+    from tidemark.plans.core_problems import p3_found, p3_status
+
+    news = ([("NY", "03/04/2026 10:11:12")] * 5 + [("NY", "25/12/2025 10:11:12")] * 4000 + [("London", "25/12/2025 10:11:12")] * 50 + [("London", "03/04/2026 10:11:12")] * 5
+            + [("Sydney", "2026-01-02 03:04:05Z")] * 5 + [("Sydney", "just now")] * 3000)
+    spark.createDataFrame([(str(i), t, f'{{"feed_name": "{f}"}}') for i, (f, t) in enumerate(news)], "id string, published_time string, metadata string").write.parquet(f"{tmp_path}/silver_financial_news.parquet")
+    spark.createDataFrame([("f1", "20260102030405")], "accession_number string, acceptance_time string").write.parquet(f"{tmp_path}/silver_sec_filings.parquet")
+    spark.createDataFrame([], "id string, source_time_raw string, source_item string").write.parquet(f"{tmp_path}/source_observations.parquet")
+    for df, name in zip(frames(spark), ("publishers", "zone_labels")):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = lambda: {tuple(r) for r in p3_found(spark, str(tmp_path)).collect()}
+    status = lambda: {(r["time_status"], r["time_reading"]): r for r in p3_status(spark, str(tmp_path)).where("field_name = 'published_time'").collect()}
+    rows, told = found(), status()
+    instant = {"NY": us(2026, 3, 4, 10, 11, 12, offset=-300), "London": us(2026, 4, 3, 10, 11, 12, offset=60), "Sydney": us(2026, 1, 2, 3, 4, 5)}
+    want = {("published_time", str(i), us(2025, 12, 25, 10, 11, 12) if t.startswith("25/") else instant[f]) for i, (f, t) in enumerate(news) if t != "just now" and (f, t[:2]) != ("NY", "25")}
+    assert rows == want | {("acceptance_time", "f1", us(2026, 1, 2, 3, 4, 5, offset=-300))}
+    assert told["read", "slash_mdy"]["n"] == 5 and told["read", "slash_mdy"]["least_posterior"] < 0.5  # 4,000 texts against the registry's word
+    assert told["read", "iso"]["n"] == 5 and told["read", "iso"]["least_posterior"] < 0.5  # nearly all of the source is noise
+    assert told["read", "slash_dmy"]["n"] == 55 and told["read", "slash_dmy"]["least_posterior"] > 0.99
+    assert told["impossible", None]["n"] == 4000 and told["unreadable", None]["n"] == 3000
+    # without the texts (the registry's prior alone in place of the fit) the posterior tells nothing
+    real = instants.fit_readings
+    monkeypatch.setattr(instants, "fit_readings", lambda counts: real(counts.withColumn("n", F.lit(0))))
+    assert found() == rows and all(r["least_posterior"] > 0.99 for (s, _), r in status().items() if s == "read")
+
+
 def test_fields(spark):
     filings = spark.createDataFrame([("f1", "20260102030405"), ("f2", "2026-01-02T03:04:05Z"), ("f3", "01/02/2026 03:04 AM")], "accession_number string, acceptance_time string")
     seen = spark.createDataFrame([("o1", "2 July 2026 03:04 ET", '{"feed_name": "NY"}')] * 2, "id string, source_time_raw string, source_item string")
