@@ -105,14 +105,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"(?U)\s+"), lambda w: w != "")
 
 
+def _polar(t: Column) -> Column:
+    """Is the token in the lexicon: a hash set, where maps are searched from end to end."""
+    return t.isin(sorted(inflections()))
+
+
+def _base(t: Column) -> Column:
+    return F.try_element_at(_map(inflections()), t)
+
+
 def profile(toks: Column) -> Column:
     """Struct of sorted distinct positive and negative base forms; a negator within three tokens before flips."""
-    base, positive, negators = _map(inflections()), _set(POSITIVE), _set(NEGATORS)
-    seen = F.transform(toks, lambda t, i: F.struct(F.try_element_at(base, t).alias("w"), F.arrays_overlap(F.slice(toks, F.greatest(i - NEGATION_WINDOW, F.lit(0)) + 1, F.least(i, F.lit(NEGATION_WINDOW))), negators).alias("flip")))
-    hits = F.filter(seen, lambda s: s["w"].isNotNull())
+    positive, negators = _set(POSITIVE), _set(NEGATORS)
+    flip = lambda i: F.arrays_overlap(F.slice(toks, F.greatest(i - NEGATION_WINDOW, F.lit(0)) + 1, F.least(i, F.lit(NEGATION_WINDOW))), negators)
+    seen = F.transform(toks, lambda t, i: F.when(_polar(t), F.struct(_base(t).alias("w"), flip(i).alias("flip"))))
     up = lambda s: F.array_contains(positive, s["w"]) != F.coalesce(s["flip"], F.lit(False))
-    pick = lambda keep: F.array_sort(F.array_distinct(F.transform(F.filter(hits, keep), lambda s: s["w"])))
-    return F.struct(pick(up).alias("pos"), pick(lambda s: ~up(s)).alias("neg"))
+    pick = lambda hits, keep: F.array_sort(F.array_distinct(F.transform(F.filter(hits, keep), lambda s: s["w"])))
+    both = lambda hits: F.struct(pick(hits, up).alias("pos"), pick(hits, lambda s: ~up(s)).alias("neg"))
+    return F.get(F.transform(F.array(F.filter(seen, lambda s: s.isNotNull())), both), F.lit(0))  # the hits are found once for both
 
 
 def profile_text(p: Column) -> Column:
@@ -145,12 +155,24 @@ def conflict(a: Column, b: Column) -> Column:
     return (F.arrays_overlap(a["pos"], b["neg"]) | F.arrays_overlap(b["pos"], a["neg"]) | clash(a["pos"], a["neg"], b["neg"]) | clash(b["pos"], b["neg"], a["neg"]))
 
 
+def conflict_bits(p: Column) -> tuple[Column, Column]:
+    """against, said: words as bits, such that profiles a and b conflict where a.against & b.said or b.against & a.said is not 0."""
+    bit = {w: 1 << k for k, w in enumerate([*POSITIVE, *NEGATIVE])}
+    bits = lambda words, table: F.aggregate(words, F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(F.coalesce(F.try_element_at(_map(table), w), F.lit(0).cast("long"))))
+    said = bits(p["neg"], bit)
+    against = bits(p["pos"], bit).bitwiseOR(bits(p["pos"], {w: sum(bit[x] for x in others) for w, others in antonyms().items()}).bitwiseAND(F.bitwise_not(said)))
+    return against.alias("against"), said.alias("said")
+
+
 def shingles(text: Column) -> Column:
+    return shingles_of(tokens(text))
+
+
+def shingles_of(t: Column) -> Column:
     """Sorted distinct words, neighbouring word pairs and two anchors per polar token."""
-    t = tokens(text)
     n = F.greatest(F.size(t) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    polar = F.filter(F.transform(t, lambda w: F.try_element_at(_map(inflections()), w)), lambda w: w.isNotNull())
+    polar = F.transform(F.filter(t, _polar), _base)
     anchors = F.flatten(F.transform(polar, lambda w: F.array(F.concat(F.lit("__POLAR_ANCHOR_1__"), w), F.concat(F.lit("__POLAR_ANCHOR_2__"), w))))
     return F.array_sort(F.array_distinct(F.concat(t, pairs, anchors)))
 
@@ -162,8 +184,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """Sorted distinct entity codes: names (longest first), then $TICKER or capitals outside the stop list."""
-    alias = "|".join(rf"(?<![a-z]){re.escape(a)}(?![a-z])" for a in sorted(ALIASES, key=lambda a: (-len(a), a)))
-    named = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({alias})"), 1), lambda a: F.try_element_at(_map(ALIASES), a))
+    alias = "|".join(re.escape(a) for a in sorted(ALIASES, key=lambda a: (-len(a), a)))
+    named = F.transform(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z])({alias})(?![a-z])"), 1), lambda a: F.try_element_at(_map(ALIASES), a))
     dollar = F.regexp_extract_all(text, F.lit(r"\$([A-Z]{1,5})\b"), 1)
     capitals = F.regexp_extract_all(text, F.lit(r"(?<![\w$])([A-Z]{2,5})\b"), 1)
     plain = F.filter(F.concat(dollar, capitals), lambda w: ~F.array_contains(_set(NO_TICKER), w))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.text import conflict, jaccard, profile, shingles, tokens
+from tidemark.functions.text import conflict, jaccard, profile, shingles_of, tokens
 from tidemark.operators.rarity import by_rarity, common_elements
 from tidemark.shared import discard, get_bytes, materialize, put_bytes, scratch
 
@@ -131,15 +131,15 @@ def best_earlier(rows: DataFrame, method: str, threshold: float, window_hours: i
     them, can't answer each other: such pairs end before any row is joined to them.
     """
     title = F.col("title")
-    value = F.array_join(F.filter(F.split(F.lower(title), r"\s+"), lambda w: w != ""), " ") if method == "exact" else shingles(title)
-    info = rows.where(title.isNotNull()).withColumns({"p": profile(tokens(title)), "e": value})
+    value = F.array_join(F.filter(F.split(F.lower(title), r"\s+"), lambda w: w != ""), " ") if method == "exact" else shingles_of(F.col("w"))
+    info = rows.where(title.isNotNull()).withColumn("w", tokens(title)).withColumns({"p": profile(F.col("w")), "e": value})
     info = info if method == "exact" else info.where(F.size("e") > 0)
     info = materialize(info.select("version_id", "t", "o", "title", "p", "asks", set_id(F.struct("e", "p")).alias("c")), "cluster-info")
     span = [F.min("t").alias("since"), F.max("t").alias("until")]
     copies = info.groupBy("c").agg(F.first("p").alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     alike = copies.where(~conflict(F.col("p"), F.col("p"))).select(F.col("c").alias("a"), F.col("c").alias("b"), F.lit(1.0).alias("score"))
     if method == "lexical":
-        classes = info.groupBy("c").agg(F.first("title").alias("title"), F.first("p").alias("p"), *span).withColumn("e", shingles(title))
+        classes = info.groupBy("c").agg(F.first("title").alias("title"), F.first("p").alias("p"), *span).withColumn("w", tokens(title)).withColumn("e", shingles_of(F.col("w"))).drop("w")
         pairs = similar_rows(classes, "c", "e", threshold, keep=("p", "since", "until"))
         pairs = materialize(pairs.where(~conflict(F.col("p_a"), F.col("p_b"))).drop("p_a", "p_b"), "cluster-pairs")
         back = pairs.toDF("b", "a", "score", "since_b", "since_a", "until_b", "until_a")
